@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import _Cache, segments
+from .tokens import segments
 
 #: Candidates: cosine to a passage, as a share of the cosine that its own text would have. Then the share of the
 #: passage's words found in order, and the share of its answer's words found near by.
 MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.3, 0.6, 0.5
-RANK, OVERSAMPLE, POWER_ROUNDS = 192, 8, 2
+RANK, OVERSAMPLE, POWER_ROUNDS, LEAST_HELD = 192, 8, 2, 0.8
 #: Passages go through in blocks of this many, each with a latent space of at most 2**15 words: both bound what is broadcast.
 BLOCK_ITEMS, MAX_WORDS = 1000, 1 << 15
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -34,6 +34,31 @@ def word(chunk: str) -> str:
     return _ENDS.sub("", chunk).casefold()
 
 
+class Numbers(dict):
+    """Numbers of chunks: a word's place in the vocabulary, its size for any other word, -1 for signs alone.
+
+    Only chunks of known words are kept, so it stays as small as the vocabulary and its spellings.
+    """
+
+    def __init__(self, vocab: dict[str, int], limit: int):
+        super().__init__()
+        self.vocab, self.other, self.limit = vocab, len(vocab), limit
+
+    def __missing__(self, chunk: str) -> int:
+        if chunk.isalpha():
+            w = chunk.casefold()
+        elif chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            w = chunk[:-1].casefold()
+        else:
+            w = word(chunk)
+        if not w:
+            return -1
+        k = self.vocab.get(w, self.other)
+        if k != self.other and len(self) < self.limit:
+            self[chunk] = k
+        return k
+
+
 def words(text: str) -> list[str]:
     return [w for c in text.split() if (w := word(c))]
 
@@ -75,15 +100,14 @@ class Index:
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     own: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def ids(self, cache: _Cache, text: str) -> np.ndarray:
+    def ids(self, cache: Numbers, text: str) -> np.ndarray:
         """Word numbers; len(vocab) for words that no passage has. Chunks of signs alone are left out."""
         parts = [np.fromiter(map(cache.__getitem__, s.split()), np.int32) for s in segments(text)]
         ids = np.concatenate(parts) if len(parts) > 1 else parts[0]
         return ids[ids >= 0]
 
-    def cache(self, limit: int = 400_000) -> _Cache:
-        vocab, other = self.vocab, len(self.vocab)
-        return _Cache(lambda c: vocab.get(w, other) if (w := word(c)) else -1, limit)
+    def cache(self, limit: int = 200_000) -> Numbers:
+        return Numbers(self.vocab, limit)
 
 
 def _document_counts(docs: DataFrame, text_col: str, index: Index) -> tuple[np.ndarray, int]:
@@ -153,6 +177,23 @@ def _latent_space(spark: SparkSession, index: Index, rank: int, rounds: int) ->
     return q.astype(float) @ vector[:, keep]
 
 
+def _with_residuals(basis: np.ndarray, passages: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """The basis with a direction more for each passage of which it holds less than LEAST_HELD, so that none is lost."""
+    extra: list[np.ndarray] = []
+    for p in passages:
+        at, tf = np.unique(p, return_counts=True)
+        x = np.zeros(len(basis))
+        x[at] = tf * idf[at]
+        size = np.linalg.norm(x)
+        rest = x - basis @ (basis[at].T @ x[at])
+        for e in extra:
+            rest -= e * (e @ rest)
+        left = np.linalg.norm(rest)
+        if size and left > np.sqrt(1 - LEAST_HELD**2) * size:
+            extra.append(rest / left)
+    return np.column_stack([basis, *extra]) if extra else basis
+
+
 def build_index(docs: DataFrame, items: list[tuple], text_col: str = "text", rank: int = RANK) -> Index | None:
     """``items``: (id, text, answer or None). None when no passage has a word."""
     items = [(i, t, a) for i, t, a in items if t and words(t)]
@@ -169,6 +210,7 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str = "text", ran
     index.idf = np.append(np.log((n + 2) / (df + 1)), np.log(n + 2))
     inside = [p[p < len(vocab)] for p in passages]
     basis = _latent_space(docs.sparkSession, Index(vocab, [], inside, [], window, index.idf), rank, POWER_ROUNDS)
+    basis = _with_residuals(basis, inside, index.idf)
     index.project = np.vstack([basis * index.idf[:-1, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
     index.latent = np.array([index.project[p].sum(0) for p in passages])
     size = np.linalg.norm(index.latent, axis=1)
@@ -201,13 +243,14 @@ def candidates(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE) ->
     return found
 
 
-def check(index: Index, ids: np.ndarray, item: int, start: int) -> tuple[float, float]:
-    """(share of the passage in order, share of its answer's words) around a window."""
+def check(index: Index, ids: np.ndarray, item: int, start: int, min_answer: float = MIN_ANSWER) -> tuple[float, float]:
+    """(share of the passage in order, share of its answer's words) around a window; without the answer no order is looked for."""
     passage, answer = index.passages[item], index.answers[item]
     slack = max(8, len(passage) // 4)
     reach = max(len(passage) - index.window, 0) + slack
     region = ids[max(0, start - reach) : start + index.window + reach]
-    return lcs_length(passage, region) / len(passage), float(np.isin(answer, region).mean()) if len(answer) else 1.0
+    told = float(np.isin(answer, region).mean()) if len(answer) else 1.0
+    return (lcs_length(passage, region) / len(passage) if told >= min_answer else 0.0), told
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
@@ -241,7 +284,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         continue
                     ids = index.ids(cache, text)
                     for i, (cos, at) in sorted(candidates(index, ids, min_cosine).items()):
-                        lcs, answer = check(index, ids, i, at)
+                        lcs, answer = check(index, ids, i, at, min_answer)
                         if lcs >= min_lcs and answer >= min_answer:
                             got.append((doc_id, index.items[i], cos, lcs, answer, at))
                 cols = list(zip(*got, strict=True)) if got else [()] * 6
