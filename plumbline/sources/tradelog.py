@@ -192,3 +192,10 @@ def read_declarations(spark: SparkSession, path: str, m: ColumnMapping) -> dict:
 
 def zone_of(m: ColumnMapping) -> ZoneInfo | None:
     return ZoneInfo(m.timezone) if m.timezone else None
+
+
+def unit_symbols(names: list[str]) -> SymbologyMap:
+    """Symbols with a multiplier of one, to look at a log before its contracts are known."""
+    from .symbology import SymbolSpec
+
+    return SymbologyMap({n.strip(): SymbolSpec("?", 1.0, 1.0, "XXX", "?") for n in names if n})

@@ -161,3 +161,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert round(spark.sql("SELECT * FROM dd").first().max_drawdown, 6) == 0.2
+
+
+def test_command_line(spark, files, capsys):
+    from plumbline.cli import main
+
+    assert main(["inspect", str(files / "log.csv")]) == 0 and "trade_id: 'id'" in capsys.readouterr().out
+    assert main(["probe", str(files / "log.csv"), "--mapping", str(files / "m.yaml")]) == 0 and "multiplier: 50" in capsys.readouterr().out
+    (files / "s.csv").write_text("date,value\n" + "".join(f"{date.fromordinal(738000 + k)},{100 + (k * 7) % 13}\n" for k in range(80)))
+    assert main(["describe", "x", "--file", str(files / "s.csv")]) == 0 and json.loads(capsys.readouterr().out)["period"] == "DAILY"
+    (files / "m.yaml").write_text(MAPPING.replace("fee_convention: POSITIVE", "fee_convention: NEGATED"))
+    assert main(["validate", str(files / "log.csv"), "--config", str(files / "c.yaml"), "--out", str(files / "r.json")]) == 1
+
+
+def test_histogram_counts_everything(spark):
+    from plumbline.plans import charts
+
+    counts = charts.histogram(spark.range(100).selectExpr("cast(id as double) v"), "v", 10)
+    assert counts == [10] * 10
+    assert charts.line_chart([1.0, 2.0], "t").startswith("<svg") and "<rect" in charts.bar_chart({"a": 1.0, "b": -1.0}, "t")
