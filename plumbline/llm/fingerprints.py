@@ -70,7 +70,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def text_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of each row; texts never leave their partition, sums are made before the shuffle."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_n"), F.explode(paragraphs(F.col(text_col))).alias("_u"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), F.monotonically_increasing_id().alias("_n"))
+    rows = rows.select("doc_id", "_n", F.explode(paragraphs(F.col("_t"))).alias("_u"))  # numbered before rows are multiplied
     sums = rows.groupBy("doc_id", "_n").agg(*packed_sums(F.col("_u")))
     return sums.select("doc_id", to_hex(unpacked()).alias("fingerprint"))
 
