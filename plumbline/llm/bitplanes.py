@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, new_folder, partitions, staged
-from .tokens import Encoder
+from .tokens import worker_encoder
 
 MAGIC, BLOCK, LEVEL = b"PLBITPL1", 1 << 16, 3
 
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out, path, writer = Encoder(tokenizer), None, "", None
+        encoder, out, path, writer = worker_encoder(tokenizer), None, "", None
         end = np.array([end_id], "<u4")
         for batch in batches:
             if batch.num_rows and writer is None:

@@ -2,10 +2,10 @@
 
 Equal sets are one class. Two filters by shared shingles leave the sets that can have a partner at all. These go
 into index lists of their prefix shingles, sorted by size and position: blocks whose size or position can't reach
-the threshold are skipped. Lists are first walked along a few members (linear work), and what these comparisons
-link is one component. Only then are the pairs across components enumerated, and a pair's answer is derived from
-the computed answers of a set that is similar to both wherever these bound it; the rest is counted exactly.
-Every linked pair lies in one component, so components are those of the full set of links.
+the threshold are skipped. Lists are first walked along their most central members (linear work), and what these
+comparisons link is one component. Only pairs across components are open then. Two sets that were counted against
+the same set are settled from how they differ from it (see ``_difference_entries``); the others go through the
+lists again. What stays open is counted exactly. Every link thus lies within one component.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, partitions, staged
 from .components import components
-from .tokens import _Cache
+from .tokens import _Cache, kept_by_worker
 
 WORDS, PERCENT = 5, 75
 #: Share of the hash space whose shingles the first filter looks at.
 SAMPLE = 0.34
-#: Each set is compared along the lists of its first shingles before pairs across components are enumerated.
-WALKED = 6
+#: Each set is compared along the lists of its first shingles, so many times, before pairs across components are enumerated.
+WALKED, WALKS = 6, 2
 #: Up to this many sets (8 bytes each) their ids are broadcast to fetch their texts; beyond it they are joined.
 BROADCAST_SETS = 1_000_000
+#: So many of the commonest shingles come last in prefixes; a task sends those that it meets so often.
+COMMON, OFTEN = 1 << 16, 8
 #: Entries that a map task holds before it sends them on.
 HELD = 1 << 21
 
@@ -43,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct hashes of a text's shingles."""
 
-    def __init__(self, words: int = WORDS, limit: int = 400_000):
+    def __init__(self, words: int = WORDS, limit: int = 150_000):
         import xxhash
 
         self.words, self.cache = words, _Cache(xxhash.xxh3_64_intdigest, limit)
@@ -62,6 +64,10 @@ class Shingler:
         return np.unique(out)
 
 
+def _shingler(words: int) -> Shingler:
+    return kept_by_worker(("shingler", words), lambda: Shingler(words))
+
+
 def signature(shingles: np.ndarray) -> int:
     """64 bits of the set, signed; two different sets among ten billion share one with a chance of a few in all."""
     import xxhash
@@ -132,7 +138,10 @@ def _lists(token: np.ndarray, sig: np.ndarray, *rest: np.ndarray) -> tuple[np.nd
 
 
 def shared_counts(rows: DataFrame, entries: Callable, buckets: int) -> DataFrame:
-    """(sig, shared): how many of a set's sent shingles stand in another set too. ``entries`` yields (tokens, sig) of batches."""
+    """(sig, shared, weight): how many of a set's sent shingles stand in another set too, and in how many sets these stand.
+
+    ``entries`` yields (tokens, sig) of batches.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(buckets, ["token", "sig"])
@@ -143,12 +152,13 @@ def shared_counts(rows: DataFrame, entries: Callable, buckets: int) -> DataFrame
             yield full
 
     def count(table: pa.Table) -> pa.Table:
-        _, sig, _, _ = _lists(*_gather(table, ["token", "sig"], [np.uint64, np.int64]))
-        found, n = np.unique(sig, return_counts=True)
-        return pa.table({"sig": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64())})
+        _, sig, _, size = _lists(*_gather(table, ["token", "sig"], [np.uint64, np.int64]))
+        found, at, n = np.unique(sig, return_inverse=True, return_counts=True)
+        weight = np.bincount(at, np.repeat(size, size), len(found)).astype(np.int64)
+        return pa.table({"sig": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64()), "weight": pa.array(weight)})
 
     sent = rows.mapInArrow(send, "bucket int, token binary, sig binary")
-    return sent.groupBy("bucket").applyInArrow(count, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+    return sent.groupBy("bucket").applyInArrow(count, "sig long, shared long, weight long").groupBy("sig").agg(F.sum("shared").alias("shared"), F.sum("weight").alias("weight"))
 
 
 def _sampled(tokens: np.ndarray) -> np.ndarray:
@@ -158,14 +168,55 @@ def _sampled(tokens: np.ndarray) -> np.ndarray:
 # ---- lists ----------------------------------------------------------------------------------------------------------
 
 
-def _prefix_entries(batches: Iterator[pa.RecordBatch], buckets: int, extra: list[str], percent: int) -> Iterator[pa.RecordBatch]:
+def common_shingles(sets: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, their places by falling count) of at most ``most`` shingles that many sets hold.
+
+    Tasks count their own sets and send what they meet often. It only sets the order in which prefixes are taken:
+    any one order for all sets gives every link, and common shingles last give short lists.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def send() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often], pa.int64())], ["t", "n"])
+
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                held.append(np.frombuffer(raw, np.uint64))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield send()
+                    held, n = [], 0
+        if held:
+            yield send()
+
+    got = sets.select("tokens").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(most).collect()
+    tokens = np.array([r.t for r in got], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], order
+
+
+def _prefix_entries(batches: Iterator[pa.RecordBatch], buckets: int, extra: list[str], percent: int, most: int | None = None, common=None) -> Iterator[pa.RecordBatch]:
+    """Entries of each set's prefix; where lists are only walked, of its first ``most`` shingles.
+
+    Shingles are in order of their hashes; with ``common`` those come last, the commonest at the very end.
+    """
+    late, place = common.value if common is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     out = _Sender(buckets, ["token", "sig", "n", "pos", *extra])
     for b in batches:
         more = [b.column(c).to_pylist() for c in extra]
         for k, (sig, raw) in enumerate(zip(b.column("sig").to_pylist(), b.column("tokens").to_pylist(), strict=True)):
             tokens = np.frombuffer(raw, np.uint64)
             n = len(tokens)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
+                last = late[at] == tokens
+                tokens = np.concatenate([tokens[~last], tokens[last][np.argsort(-place[at[last]], kind="stable")]])
             p = n - -(-percent * n // 100) + 1
+            p = p if most is None else min(p, most)
             full = out.add(tokens[:p], np.full(p, sig, np.int64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32), *[np.full(p, m[k], np.int64) for m in more])
             if full is not None:
                 yield full
@@ -188,39 +239,44 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 
 def walk_lists(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs along each list: every set with its neighbour in size and with one member chosen by a hash."""
-    token, sig, n, pos, begin, size = _lists(*(_gather(table, ["token", "sig", "n", "pos"], [np.uint64, np.int64, np.int32, np.int32])[i] for i in (0, 1, 2, 3)))
-    if not len(token):
-        return _unique_pairs(sig, sig)
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    with np.errstate(over="ignore"):
-        rank = _mix(sig.view(np.uint64) * _M1 ^ token) >> np.uint64(1)
-    lead = np.repeat(np.minimum.reduceat(rank, begin), size)
+    """Pairs of each set with the most central member of a list, and of what lies outside that one's component with the most central there.
+
+    The most central set of a group of near copies is what they were copied from: its shingles stand in most of
+    the others. A group takes one pair for each set and list that is walked, not one for each two sets.
+    """
+    names, kinds = ["token", "sig", "n", "pos", "comp", "central"], [np.uint64, np.int64, np.int32, np.int32, np.int64, np.int64]
+    token, sig, n, pos, comp, central, begin, size = _lists(*_gather(table, names, kinds))
+    found_a, found_b = [sig[:0]], [sig[:0]]
     of_list = np.repeat(np.arange(len(begin)), size)
-    pivot = np.zeros(len(begin), np.int64)
-    at = np.flatnonzero(rank == lead)
-    pivot[of_list[at]] = at
-    pivot = pivot[of_list]
-    walked = pos < WALKED
-    here = np.arange(len(token))
-    before = np.flatnonzero(walked & (here != np.repeat(begin, size)))
-    to_pivot = np.flatnonzero(walked & (pivot != here))
-    a, b = np.append(before, to_pivot), np.append(before - 1, pivot[to_pivot])
-    ok = _can_reach(n[a], pos[a], n[b], pos[b], percent)
-    return _unique_pairs(sig[a[ok]], sig[b[ok]])
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    rest = np.arange(len(token))
+    for _ in range(2):
+        if not len(rest):
+            break
+        order = rest[np.lexsort((sig[rest], -central[rest], of_list[rest]))]
+        first = np.append(True, of_list[order][1:] != of_list[order][:-1])
+        top = np.zeros(len(begin), np.int64)
+        top[of_list[order[first]]] = order[first]
+        lead = top[of_list[rest]]
+        x, y = rest[(pos[rest] < WALKED) & (lead != rest)], lead[(pos[rest] < WALKED) & (lead != rest)]
+        # sets that can't be linked with it are counted too, to be settled from their differences
+        ok = (2 * np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y])) & (comp[x] != comp[y])
+        found_a.append(sig[x[ok]])
+        found_b.append(sig[y[ok]])
+        rest = rest[comp[rest] != comp[lead]]
+    return _unique_pairs(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def cross_lists(table: pa.Table, percent: int) -> pa.Table:
-    """All pairs of a list that lie in different components and that size, position and known overlaps leave open."""
-    names = ["token", "sig", "n", "pos", "comp", "home", "overlap", "home_n"]
-    kinds = [np.uint64, np.int64, np.int32, np.int32, *[np.int64] * 4]
-    token, sig, *rest = _gather(table, names, kinds)
-    token, sig, n, pos, comp, home, over, home_n, begin, size = _lists(token, sig, *rest)
+    """Pairs of a list in different components without a set that both were counted against, as far as size and position leave them open."""
+    names, kinds = ["token", "sig", "n", "pos", "comp", "home"], [np.uint64, np.int64, np.int32, np.int32, np.int64, np.int64]
+    token, sig, n, pos, comp, home, begin, size = _lists(*_gather(table, names, kinds))
     if not len(token):
         return _unique_pairs(sig, sig)
-    mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+    apart = lambda v: np.minimum.reduceat(v, begin) != np.maximum.reduceat(v, begin)
+    mixed = apart(comp) & (apart(home) | (np.minimum.reduceat(home, begin) == 0))
     n, pos = n.astype(np.int64), pos.astype(np.int64)
-    found_a, found_b = [], []
+    found_a, found_b = [sig[:0]], [sig[:0]]
     for s, m in zip(begin[mixed].tolist(), size[mixed].tolist(), strict=True):
         e = s + m
         names_, count = np.unique(comp[s:e], return_counts=True)
@@ -229,17 +285,60 @@ def cross_lists(table: pa.Table, percent: int) -> pa.Table:
         for x in (np.flatnonzero(comp[s:e] != main) + s).tolist():
             lo = s + int(np.searchsorted(n[s:e], -(-percent * n[x] // 100)))
             hi = s + int(np.searchsorted(n[s:e], 100 * n[x] // percent, side="right"))
-            y = np.arange(lo, hi)
-            y = y[(comp[lo:hi] != comp[x])]
+            y = np.flatnonzero((comp[lo:hi] != comp[x]) & ((home[lo:hi] != home[x]) | (home[x] == 0))) + lo
             y = y[_can_reach(n[x], pos[x], n[y], pos[y], percent)]
-            if len(y):
-                # both sets were counted against the same third one: what they share lies in it or in what each has beside it
-                most = np.minimum(over[x], over[y]) + np.minimum(n[x] - over[x], n[y] - over[y])
-                y = y[(home[y] != home[x]) | (home[x] == 0) | (most >= needed(n[x], n[y], percent))]
+            found_a.append(np.full(len(y), sig[x]))
+            found_b.append(sig[y])
+    return _unique_pairs(np.concatenate(found_a), np.concatenate(found_b))
+
+
+def _difference_entries(batches: Iterator[pa.RecordBatch], buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Entries of what sets have beside their home set p (B) or lack of it (A).
+
+    Sets x and y share |p| - |Ax| - |Ay| + |Ax and Ay| + |Bx and By| shingles. If x isn't linked with p, a link of
+    x and y takes more than (100 |Ay| + percent |By|) / (100 + percent) shingles that both differences hold. So
+    some shingle of y's difference, less that many, is in x's: y sends a prefix, the sets outside p's component all.
+    Entries carry their position and the parts of that number, so that pairs can be left out by position too.
+    """
+    out = _Sender(buckets, ["token", "sig", "comp", "role", "left", "part"])
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("sig", "home", "comp", "outside", "tokens", "home_tokens")]
+        for sig, home, comp, outside, raw, base in zip(*columns, strict=True):
+            x, p = np.frombuffer(raw, np.uint64), np.frombuffer(base, np.uint64)
+            more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+            with np.errstate(over="ignore"):
+                place = _mix(np.array([home], np.int64).view(np.uint64))
+                keys = np.concatenate([_mix(more ^ place), _mix(less ^ place ^ _M2)])
+            own = 100 * len(less) + percent * len(more)
+            short = percent * (len(x) + len(p)) - (100 + percent) * (len(p) - len(less))  # over 0 where x isn't linked with p
+            left = len(keys) - np.arange(len(keys), dtype=np.int32)
+            for role, k, part in ((0, len(keys) - own // (100 + percent), own), (1, len(keys) if outside else 0, short)):
+                if k and (full := out.add(keys[:k], np.full(k, sig, np.int64), np.full(k, comp, np.int64), np.full(k, role, np.int8), left[:k].astype(np.int32), np.full(k, part, np.int64))) is not None:
+                    yield full
+    if (full := out.flush()) is not None:
+        yield full
+
+
+def difference_lists(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a set outside its home's component with a set of another component whose sent difference it meets early enough."""
+    names, kinds = ["token", "sig", "comp", "role", "left", "part"], [np.uint64, np.int64, np.int64, np.int8, np.int32, np.int64]
+    columns = _gather(table, names, kinds)
+    order = np.lexsort((columns[3], columns[0]))
+    token, sig, comp, role, left, part = (c[order] for c in columns)
+    found_a, found_b = [sig[:0]], [sig[:0]]
+    if len(token):
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        end = np.append(begin[1:], len(token))
+        asked = np.add.reduceat(role.astype(np.int64), begin)
+        apart = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+        for s, e, k in zip(*(v[apart & (asked > 0) & (asked < end - begin)].tolist() for v in (begin, end, asked)), strict=True):
+            for x in range(e - k, e):
+                y = np.flatnonzero(comp[s : e - k] != comp[x]) + s
+                # what both still have from here on must reach the number that a link takes
+                y = y[(100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= part[x] + part[y]]
                 found_a.append(np.full(len(y), sig[x]))
                 found_b.append(sig[y])
-    none = np.zeros(0, np.int64)
-    return _unique_pairs(np.concatenate(found_a) if found_a else none, np.concatenate(found_b) if found_b else none)
+    return _unique_pairs(np.concatenate(found_a), np.concatenate(found_b))
 
 
 def count_overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,14 +378,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(256, 16 * partitions(spark))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
+        make = _shingler(words)
         for b in batches:
             got = [make.of(t) for t in b.column(1).to_pylist()]
             sigs = pa.array([signature(s) if len(s) else None for s in got], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in got], pa.int64()), sigs, pa.array([len(_sampled(s)) for s in got], pa.int64())], ["doc_id", "n", "sig", "sampled"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-        make, seen = Shingler(words), set()
+        make, seen = _shingler(words), set()
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = make.of(t)
@@ -296,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield _sampled(s), sig
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(words)
+        make = _shingler(words)
         for b in batches:
             got = [s for t in b.column(0).to_pylist() if len(s := make.of(t))]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sig", "n", "tokens"])
@@ -319,35 +418,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fetched = rows.join(ids, rows.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     sets = staged(fetched.mapInArrow(sets_of, "sig long, n long, tokens binary"), "sets")
     second = shared_counts(sets.select("sig", "tokens"), all_tokens, buckets)
-    kept = staged(sets.join(second.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).where(F.col("n") - F.col("shared") <= spare).select("sig", "n", "tokens").dropDuplicates(["sig"]), "kept-sets")
+    central = (F.col("weight") * 1000 / F.col("n")).cast("long").alias("central")
+    kept = staged(sets.join(second.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).where(F.col("n") - F.col("shared") <= spare).select("sig", "n", "tokens", central).dropDuplicates(["sig"]), "kept-sets")
     discard(able, sets)
 
     entry = "bucket int, token binary, sig binary, n binary, pos binary"
-    walks = kept.select("sig", "tokens").mapInArrow(partial(_prefix_entries, buckets=buckets, extra=[], percent=percent), entry)
-    pairs = walks.groupBy("bucket").applyInArrow(lambda t: walk_lists(t, percent), "a long, b long").distinct()
-    known = count_overlaps(pairs, kept, percent)
-    links = known.where("linked").select("a", "b")
-    comps = components(links)
-
-    both = known.select("a", "b", "overlap", "nb").union(known.select("b", "a", "overlap", "na"))
-    home = both.groupBy(F.col("a").alias("sig")).agg(F.max(F.struct("overlap", "b", "nb")).alias("h"))
-    placed = kept.join(comps.withColumnRenamed("node", "sig"), "sig", "left").join(home, "sig", "left")
-    zero = F.lit(0).cast("long")
-    placed = placed.select("sig", "tokens", F.coalesce("root", "sig").alias("comp"), F.coalesce("h.b", zero).alias("home"), F.coalesce("h.overlap", zero).alias("overlap"), F.coalesce("h.nb", zero).alias("home_n"))
-    extra = ["comp", "home", "overlap", "home_n"]
-    crossed = placed.mapInArrow(partial(_prefix_entries, buckets=buckets, extra=extra, percent=percent), entry + "".join(f", {c} binary" for c in extra))
-    open_pairs = crossed.groupBy("bucket").applyInArrow(lambda t: cross_lists(t, percent), "a long, b long").distinct()
-    open_pairs = open_pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    late = count_overlaps(open_pairs, kept, percent).where("linked").select("a", "b")
-    if late.limit(1).count():
-        comps = components(links.union(late))
+    prefixes = lambda df, extra, most=None, common=None: df.select("sig", "tokens", *extra).mapInArrow(partial(_prefix_entries, buckets=buckets, extra=extra, percent=percent, most=most, common=common), entry + "".join(f", {c} binary" for c in extra))
+    comps, known, fresh = None, None, None
+    for _ in range(WALKS):
+        placed = kept.withColumn("comp", F.col("sig")) if comps is None else kept.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
+        pairs = prefixes(placed, ["comp", "central"], 4 * WALKED).groupBy("bucket").applyInArrow(lambda t: walk_lists(t, percent), "a long, b long").distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = count_overlaps(pairs, kept, percent)
+        known = fresh if known is None else known.unionByName(fresh)
+        comps = components(known.where("linked").select("a", "b"))
+
+    # a set's home: the most central one that it was counted against
+    both = known.select(F.col("a").alias("sig"), F.col("b").alias("other")).union(known.select("b", "a"))
+    home = both.join(kept.select(F.col("sig").alias("other"), "central"), "other").groupBy("sig").agg(F.max(F.struct("central", "other")).alias("h")).select("sig", F.col("h.other").alias("home"))
+    placed = kept.select("sig", "tokens").join(comps.withColumnRenamed("node", "sig"), "sig", "left").join(home, "sig", "left")
+    placed = staged(placed.select("sig", "tokens", F.coalesce("root", "sig").alias("comp"), F.coalesce("home", F.lit(0).cast("long")).alias("home")), "placed-sets")
+    common = spark.sparkContext.broadcast(common_shingles(placed))  # COMMON shingles at most, 16 bytes each
+    crossed = prefixes(placed, ["comp", "home"], common=common).groupBy("bucket").applyInArrow(lambda t: cross_lists(t, percent), "a long, b long")
+
+    bases = placed.select(F.col("sig").alias("base"), F.col("comp").alias("base_comp"), F.col("tokens").alias("home_tokens"))
+    beside = placed.join(bases, F.col("home") == F.col("base")).withColumn("outside", F.col("comp") != F.col("base_comp"))
+    torn = placed.select("home", "comp").join(placed.select(F.col("sig").alias("base"), F.col("comp").alias("base_comp")), (F.col("home") == F.col("base")) & (F.col("comp") != F.col("base_comp"))).select(F.col("home").alias("torn")).distinct()
+    beside = beside.join(torn, F.col("home") == F.col("torn"), "left_semi").select("sig", "home", "comp", "outside", "tokens", "home_tokens")
+    differing = beside.mapInArrow(partial(_difference_entries, buckets=buckets, percent=percent), "bucket int, token binary, sig binary, comp binary, role binary, left binary, part binary").groupBy("bucket").applyInArrow(lambda t: difference_lists(t, percent), "a long, b long")
+    open_pairs = crossed.union(differing).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    late = count_overlaps(open_pairs, kept, percent)
+    if late.where("linked").limit(1).count():
+        comps = components(known.unionByName(late).where("linked").select("a", "b"))
 
     roots = comps.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
     lowest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = roots.join(lowest, "root").select(F.col("node").alias("s"), "component_id")
     copies = classes.where("members > 1").join(linked.select("s"), F.col("sig") == F.col("s"), "left_anti").select(F.col("sig").alias("s"), F.col("rep").alias("component_id"))
     of_set = staged(linked.unionByName(copies), "set-components")
-    discard(kept, known)
+    discard(kept, placed, late)
     out = signed.join(of_set, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .tokens import kept_by_worker
 
 BITS = 18
 #: The model is fitted on at most about this many labelled rows (a hash sample of them), texts cut nowhere; rows
@@ -132,7 +133,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, id_col:
     rows = texts.join(F.broadcast(sample), "_id").select("_id", "_y", "_t")  # at most 2 * fit_rows rows of 12 bytes
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(bits)
+        make = kept_by_worker(("features", bits), lambda: Features(bits))
         for b in batches:
             got = [make.of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], ["id", "y", "at", "x"])
@@ -161,7 +162,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
     at_text = names.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, w = Features(bits), shared.value.astype(float)
+        make, w = kept_by_worker(("features", bits), lambda: Features(bits)), shared.value.astype(float)
         for b in batches:
             scores = []
             for t in b.column(at_text).to_pylist():

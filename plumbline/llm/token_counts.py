@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import BYTE_LEVEL, Encoder, pack_table, unpack_table
+from .tokens import BYTE_LEVEL, Encoder, pack_table, worker_encoder
 
 #: The table of frequent pre-tokens: its rows, and the documents it is made from (none over SAMPLE_BYTES).
 #: It only spares work; counts are exact without it.
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
             of = lambda t: len(model.encode(t)) if t else 0
         else:
-            of = Encoder(tokenizer, counts=True, frequent=unpack_table(shared.value)).encode
+            of = worker_encoder(tokenizer, True, shared.value).encode
         for batch in batches:
             sizes = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "n_bytes"])

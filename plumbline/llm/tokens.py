@@ -40,19 +40,48 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    """A dict that asks ``make`` for what is missing and empties itself when it is full."""
+    """A dict that asks ``make`` for what is missing. Full, it becomes the old generation, from which hits move back."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= LONG_UNIT:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > LONG_UNIT:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Units(_Cache):
+    """Words, and words with one sign behind them, which are put together from the word's entry and the sign's."""
+
+    def __init__(self, make, limit: int, signs: dict, word):
+        super().__init__(make, limit)
+        self.signs, self.word = signs, word
+
+    def __missing__(self, unit):
+        if unit.isalpha():
+            value = self.old.get(unit)
+            if value is None:
+                value = self.word(unit)
+                if len(unit) > LONG_UNIT:
+                    return value
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
-            self[key] = value
-        return value
+            self[unit] = value
+            return value
+        sign = self.signs.get(unit[-1:])
+        if sign is not None and unit[:-1].isalpha():
+            return self[unit[:-1]] + sign
+        return super().__missing__(unit)
 
 
 class Encoder:
@@ -61,7 +90,7 @@ class Encoder:
     ``frequent`` is a table from pre-token to number of ids, shared by all workers (counts only).
     """
 
-    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, limit: int = 350_000):
+    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, limit: int = 250_000):
         import json
         import os
 
@@ -86,8 +115,9 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.table = dict(enumerate(byte_alphabet()))
         self.frequent = frequent or {}
-        self.pieces = _Cache(self._piece, limit)
-        self.units = _Cache(self._unit, limit)
+        self.pieces = _Cache(self._piece, limit // 4)
+        signs = {c: self._piece(c) for c in ".,;:!?"} if self.kind else {}
+        self.units = _Units(self._unit, limit, signs, (lambda w: self._piece(" " + w)) if self.kind == BYTE_LEVEL else (lambda w: self._piece(w.lower())))
 
     def _pack(self, ids: list[int]):
         return len(ids) if self.counts else struct.pack(f"<{len(ids)}I", *ids)
@@ -127,6 +157,26 @@ class Encoder:
         return first + self._join(map(self.units.__getitem__, units))
 
 
+def kept_by_worker(key: tuple, make):
+    """What ``make`` gives, kept for the life of this Python worker, so that later tasks find its caches warm.
+
+    At most four such objects are held; each bounds its own size.
+    """
+    import sys
+
+    held = sys.__dict__.setdefault("_plumbline_kept", {})
+    if key not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
+def worker_encoder(path: str, counts: bool = False, frequent: bytes = b"") -> Encoder:
+    """An encoder shared by the tasks of a worker; ``frequent`` is a packed table."""
+    return kept_by_worker(("encoder", path, counts, zlib.crc32(frequent)), lambda: Encoder(path, counts, unpack_table(frequent) if frequent else None))
+
+
 def segments(text: str) -> Iterator[str]:
     """A long text in parts of about a million characters, cut before a single space between two words."""
     at = 0
