@@ -362,6 +362,13 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_chain_with_shuffled_ids(spark):
+    ids = random.Random(3).sample(range(10**9), 3000)
+    df = spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long")
+    got = {r.node: r.root for r in components.components(df).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
 # ---- 9
 
 
