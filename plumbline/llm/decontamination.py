@@ -212,7 +212,7 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str = "text", ran
     basis = _latent_space(docs.sparkSession, Index(vocab, [], inside, [], window, index.idf), rank, POWER_ROUNDS)
     basis = _with_residuals(basis, inside, index.idf)
     index.project = np.vstack([basis * index.idf[:-1, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    index.latent = np.array([index.project[p].sum(0) for p in passages])
+    index.latent = np.array([index.project[p].sum(0) for p in passages], np.float32)
     size = np.linalg.norm(index.latent, axis=1)
     full = np.array([np.sqrt(((np.unique(p, return_counts=True)[1] * index.idf[np.unique(p)]) ** 2).sum()) for p in passages])
     index.own = size / np.maximum(full, 1e-9)
@@ -220,37 +220,60 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str = "text", ran
     return index
 
 
-def candidates(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE) -> dict[int, tuple[float, int]]:
-    """For each passage near some window: (best cosine, where that window starts)."""
-    w, other = index.window, len(index.vocab)
-    step, n = max(1, w // 4), len(ids)
+def square_norms(idf: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of the TF-IDF vector of each row of word numbers; words outside the passages (the last number) count as all different."""
+    rows = np.sort(windows, axis=1)
+    at = np.broadcast_to(np.arange(rows.shape[1]), rows.shape)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = (rows[:, 1:] != rows[:, :-1]) | (rows[:, 1:] == len(idf) - 1)
+    nth = at - np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    return (idf[rows] ** 2 * (2 * nth + 1)).sum(1)  # a square is the sum of the odd numbers below it
+
+
+def candidates(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE) -> dict[int, list[tuple[float, int]]]:
+    """For each passage all windows near it, the nearest first: (cosine, where the window starts)."""
+    n, other = len(ids), len(index.vocab)
+    w, step = min(index.window, n), max(1, index.window // 4)
     if not n:
         return {}
-    energy = index.idf[ids] ** 2
-    total, inside = np.append(0, np.cumsum(energy)), np.append(0, np.cumsum(np.where(ids < other, energy, 0)))
-    starts = np.arange(0, max(1, n - w + step), step)
-    ends = np.minimum(starts + w, n)
-    most, known = total[ends] - total[starts], inside[ends] - inside[starts]
-    # no cosine exceeds the root of the share of weight on the passages' words
-    near = np.flatnonzero(known >= (min_cosine * index.own.min()) ** 2 * np.maximum(most, 1e-12))
-    found: dict[int, tuple[float, int]] = {}
-    for k in near.tolist():
-        x = index.project[ids[starts[k] : ends[k]]].sum(0)
-        cos = index.latent @ x / np.sqrt(max(most[k], 1e-12)) / index.own
-        for i in np.flatnonzero(cos >= min_cosine).tolist():
-            if cos[i] > found.get(i, (0, 0))[0]:
-                found[i] = float(min(cos[i], 1.0)), int(starts[k])
-    return found
-
-
-def check(index: Index, ids: np.ndarray, item: int, start: int, min_answer: float = MIN_ANSWER) -> tuple[float, float]:
-    """(share of the passage in order, share of its answer's words) around a window; without the answer no order is looked for."""
+    inside = np.append(0, np.cumsum(np.where(ids < other, index.idf[ids] ** 2, 0)))
+    starts = np.unique(np.minimum(np.arange(0, n - w + step, step), n - w))
+    total = np.append(0, np.cumsum(index.idf[ids] ** 2))
+    # no cosine exceeds the root of the share of weight on the passages' words; repeats raise it, at most to w times
+    known, out = inside[starts + w] - inside[starts], (total - inside)[starts + w] - (total - inside)[starts]
+    starts = starts[known * w >= (min_cosine * index.own.min()) ** 2 * (known * w + out)]
+    found: dict[int, list[tuple[float, int]]] = {}
+    for k in range(0, len(starts), 256):
+        windows = ids[starts[k : k + 256, None] + np.arange(w)]
+        x = index.project[windows].sum(1)
+        cos = x @ index.latent.T / np.sqrt(np.maximum(square_norms(index.idf, windows), 1e-12))[:, None] / index.own
+        for r, i in zip(*np.nonzero(cos >= min_cosine), strict=True):
+            found.setdefault(int(i), []).append((float(min(cos[r, i], 1.0)), int(starts[k + r])))
+    return {i: sorted(at, key=lambda x: (-x[0], x[1])) for i, at in found.items()}
+
+
+def check(index: Index, ids: np.ndarray, item: int, start: int, min_answer: float = MIN_ANSWER, min_lcs: float = 0.0) -> tuple[float, float]:
+    """(share of the passage in order, share of its answer's words) around a window; the order is looked for only where the words are enough."""
     passage, answer = index.passages[item], index.answers[item]
     slack = max(8, len(passage) // 4)
     reach = max(len(passage) - index.window, 0) + slack
     region = ids[max(0, start - reach) : start + index.window + reach]
-    told = float(np.isin(answer, region).mean()) if len(answer) else 1.0
-    return (lcs_length(passage, region) / len(passage) if told >= min_answer else 0.0), told
+    there = np.zeros(len(index.vocab) + 1, bool)
+    there[region] = True
+    told = float(there[answer].mean()) if len(answer) else 1.0
+    if told < min_answer or there[passage].mean() < min_lcs:
+        return 0.0, told
+    return lcs_length(passage, region) / len(passage), told
+
+
+def leaks(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> Iterator[tuple[int, float, float, float, int]]:
+    """(item, cosine, lcs, answer, start) for each passage: the nearest window that passes the checks."""
+    for i, near in sorted(candidates(index, ids, min_cosine).items()):
+        for cos, at in near:
+            lcs, answer = check(index, ids, i, at, min_answer, min_lcs)
+            if lcs >= min_lcs and answer >= min_answer:
+                yield i, cos, lcs, answer, at
+                break
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
@@ -283,10 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     if not text:
                         continue
                     ids = index.ids(cache, text)
-                    for i, (cos, at) in sorted(candidates(index, ids, min_cosine).items()):
-                        lcs, answer = check(index, ids, i, at, min_answer)
-                        if lcs >= min_lcs and answer >= min_answer:
-                            got.append((doc_id, index.items[i], cos, lcs, answer, at))
+                    got += [(doc_id, index.items[i], *leak) for i, *leak in leaks(index, ids, min_cosine, min_lcs, min_answer)]
                 cols = list(zip(*got, strict=True)) if got else [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "cosine", "lcs", "answer", "word_start"])

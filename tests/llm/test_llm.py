@@ -284,6 +284,16 @@ def test_decontamination_on_odd_rows(spark):
     assert decontamination.find_leaks(empty(spark), bench).count() == 0 and decontamination.find_leaks(odd(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_behind_a_run_of_one_word(spark):
+    names = [f"w{k}" for k in range(40)]
+    passage = " ".join(names)
+    text = " ".join(["w39"] * 60 + [f"z{k}" for k in range(65)] + names)
+    others = [(k, " ".join(names[:20])) for k in range(2, 12)]
+    df = spark.createDataFrame([(1, text), *others], "doc_id long, text string")
+    got = decontamination.find_leaks(df, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.lcs) for r in got] == [(1, 7, 1.0)] and got[0].cosine <= 1 and got[0].word_start > 60
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(50):
