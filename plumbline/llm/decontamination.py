@@ -26,6 +26,8 @@ MIN_COSINE, MIN_LCS, MIN_ANSWER = 0.3, 0.6, 0.5
 RANK, OVERSAMPLE, POWER_ROUNDS, LEAST_HELD = 192, 8, 2, 0.8
 #: Passages go through in blocks of this many, each with a latent space of at most 2**15 words: both bound what is broadcast.
 BLOCK_ITEMS, MAX_WORDS = 1000, 1 << 15
+#: Words a window: a passage meets the shortest that holds it; one over the longest is looked for in pieces of that length.
+WIDTHS = (16, 32, 64)
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -88,17 +90,24 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass
 class Index:
-    """What workers need for one block of passages; its size is bounded by BLOCK_ITEMS, MAX_WORDS and RANK."""
+    """What workers need for one block of passages; its size grows with their words (BLOCK_ITEMS, MAX_WORDS, RANK).
+
+    A row of ``latent`` is a passage, or a piece of a long one: ``owner`` is its passage, ``offset`` where the
+    piece begins there, ``width`` the words of the windows that it is compared with.
+    """
 
     vocab: dict[str, int]
     items: list[int | None]
     passages: list[np.ndarray]
     answers: list[np.ndarray]
-    window: int
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     project: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     own: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    norm: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    offset: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    width: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
     def ids(self, cache: Numbers, text: str) -> np.ndarray:
         """Word numbers; len(vocab) for words that no passage has. Chunks of signs alone are left out."""
@@ -204,22 +213,33 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str = "text", ran
     number = lambda ws: np.array([vocab.get(w, len(vocab)) for w in ws], np.int32)
     passages = [number(words(t)) for _, t, _ in items]
     answers = [np.unique(number(answer_words(t, a))) for _, t, a in items]
-    window = int(np.clip(np.median([len(p) for p in passages]), 12, 64))
-    index = Index(vocab, [i for i, _, _ in items], passages, answers, window)
+    index = Index(vocab, [i for i, _, _ in items], passages, answers)
     df, n = _document_counts(docs, text_col, index)
-    index.idf = np.append(np.log((n + 2) / (df + 1)), np.log(n + 2))
-    inside = [p[p < len(vocab)] for p in passages]
-    basis = _latent_space(docs.sparkSession, Index(vocab, [], inside, [], window, index.idf), rank, POWER_ROUNDS)
+    idf = np.log((n + 2) / (df + 1))
+    # words that no passage has aren't counted; they weigh what a passage's word weighs on average, however large n is
+    index.idf = np.append(idf, np.mean(np.concatenate([idf[p[p < len(vocab)]] for p in passages])))
+    cuts = [(i, at) for i, p in enumerate(passages) for at in pieces(len(p))]
+    index.owner, index.offset = np.array(cuts).T
+    parts = [passages[i][at : at + WIDTHS[-1]] for i, at in cuts]
+    index.width = np.array([next((w for w in WIDTHS if w >= len(p)), WIDTHS[-1]) for p in parts])
+    inside = [p[p < len(vocab)] for p in parts]
+    basis = _latent_space(docs.sparkSession, Index(vocab, [], inside, [], index.idf), rank, POWER_ROUNDS)
     basis = _with_residuals(basis, inside, index.idf)
     index.project = np.vstack([basis * index.idf[:-1, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    index.latent = np.array([index.project[p].sum(0) for p in passages], np.float32)
+    index.latent = np.array([index.project[p].sum(0) for p in parts], np.float32)
     size = np.linalg.norm(index.latent, axis=1)
-    full = np.array([np.sqrt(((np.unique(p, return_counts=True)[1] * index.idf[np.unique(p)]) ** 2).sum()) for p in passages])
-    index.own = size / np.maximum(full, 1e-9)
+    index.norm = np.array([np.sqrt(square_norms(index.idf, p[None])[0]) for p in parts])
+    index.own = size / np.maximum(index.norm, 1e-9)
     index.latent = index.latent / np.maximum(size, 1e-9)[:, None]
     return index
 
 
+def pieces(n: int) -> list[int]:
+    """Where the pieces of a passage of n words begin; the last one ends with it."""
+    longest = WIDTHS[-1]
+    return sorted({*range(0, max(n - longest, 0) + 1, longest), max(n - longest, 0)})
+
+
 def square_norms(idf: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Of the TF-IDF vector of each row of word numbers; words outside the passages (the last number) count as all different."""
     rows = np.sort(windows, axis=1)
@@ -230,34 +250,43 @@ def square_norms(idf: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return (idf[rows] ** 2 * (2 * nth + 1)).sum(1)  # a square is the sum of the odd numbers below it
 
 
-def candidates(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE) -> dict[int, list[tuple[float, int]]]:
-    """For each passage all windows near it, the nearest first: (cosine, where the window starts)."""
+def candidates(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE) -> dict[int, list[tuple[float, int, int]]]:
+    """For each passage all windows near it or a piece of it, the nearest first: (cosine, where the window starts, the piece).
+
+    What a window has besides the passage makes it weigh as much as the passage at most: a passage that stands
+    whole in a window is near it, whatever surrounds it.
+    """
     n, other = len(ids), len(index.vocab)
-    w, step = min(index.window, n), max(1, index.window // 4)
     if not n:
         return {}
     inside = np.append(0, np.cumsum(np.where(ids < other, index.idf[ids] ** 2, 0)))
-    starts = np.unique(np.minimum(np.arange(0, n - w + step, step), n - w))
     total = np.append(0, np.cumsum(index.idf[ids] ** 2))
-    # no cosine exceeds the root of the share of weight on the passages' words; repeats raise it, at most to w times
-    known, out = inside[starts + w] - inside[starts], (total - inside)[starts + w] - (total - inside)[starts]
-    starts = starts[known * w >= (min_cosine * index.own.min()) ** 2 * (known * w + out)]
-    found: dict[int, list[tuple[float, int]]] = {}
-    for k in range(0, len(starts), 256):
-        windows = ids[starts[k : k + 256, None] + np.arange(w)]
-        x = index.project[windows].sum(1)
-        cos = x @ index.latent.T / np.sqrt(np.maximum(square_norms(index.idf, windows), 1e-12))[:, None] / index.own
-        for r, i in zip(*np.nonzero(cos >= min_cosine), strict=True):
-            found.setdefault(int(i), []).append((float(min(cos[r, i], 1.0)), int(starts[k + r])))
-    return {i: sorted(at, key=lambda x: (-x[0], x[1])) for i, at in found.items()}
-
-
-def check(index: Index, ids: np.ndarray, item: int, start: int, min_answer: float = MIN_ANSWER, min_lcs: float = 0.0) -> tuple[float, float]:
+    found: dict[int, list[tuple[float, int, int]]] = {}
+    for width in np.unique(index.width).tolist():
+        mine = np.flatnonzero(index.width == width)
+        latent, own, norm = index.latent[mine].T, index.own[mine], index.norm[mine]
+        w, step = min(width, n), max(1, width // 4)
+        starts = np.unique(np.minimum(np.arange(0, n - w + step, step), n - w))
+        # no cosine exceeds the root of the share of weight on the passages' words; repeats raise it, at most to w times
+        known, most = w * (inside[starts + w] - inside[starts]), (total - inside)[starts + w] - (total - inside)[starts]
+        starts = starts[known >= (min_cosine * own.min()) ** 2 * np.minimum(known + most, norm.min() ** 2)]
+        for k in range(0, len(starts), 256):
+            windows = ids[starts[k : k + 256, None] + np.arange(w)]
+            size = np.sqrt(np.maximum(square_norms(index.idf, windows), 1e-12))[:, None]
+            cos = index.project[windows].sum(1) @ latent / np.minimum(size, np.maximum(norm, 1e-6)) / own
+            for r, c in zip(*np.nonzero(cos >= min_cosine), strict=True):
+                i = int(index.owner[mine[c]])
+                shown = cos[r, c] * min(1.0, norm[c] / size[r, 0])
+                found.setdefault(i, []).append((float(min(shown, 1.0)), int(starts[k + r]), int(mine[c])))
+    return {i: sorted(at, key=lambda x: (-x[0], x[1], x[2])) for i, at in found.items()}
+
+
+def check(index: Index, ids: np.ndarray, piece: int, start: int, min_answer: float = MIN_ANSWER, min_lcs: float = 0.0) -> tuple[float, float]:
     """(share of the passage in order, share of its answer's words) around a window; the order is looked for only where the words are enough."""
-    passage, answer = index.passages[item], index.answers[item]
+    item = index.owner[piece]
+    passage, answer, begin, width = index.passages[item], index.answers[item], int(index.offset[piece]), int(index.width[piece])
     slack = max(8, len(passage) // 4)
-    reach = max(len(passage) - index.window, 0) + slack
-    region = ids[max(0, start - reach) : start + index.window + reach]
+    region = ids[max(0, start - begin - slack) : start + max(width, len(passage) - begin) + slack]
     there = np.zeros(len(index.vocab) + 1, bool)
     there[region] = True
     told = float(there[answer].mean()) if len(answer) else 1.0
@@ -269,8 +298,8 @@ def check(index: Index, ids: np.ndarray, item: int, start: int, min_answer: floa
 def leaks(index: Index, ids: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> Iterator[tuple[int, float, float, float, int]]:
     """(item, cosine, lcs, answer, start) for each passage: the nearest window that passes the checks."""
     for i, near in sorted(candidates(index, ids, min_cosine).items()):
-        for cos, at in near:
-            lcs, answer = check(index, ids, i, at, min_answer, min_lcs)
+        for cos, at, piece in near:
+            lcs, answer = check(index, ids, piece, at, min_answer, min_lcs)
             if lcs >= min_lcs and answer >= min_answer:
                 yield i, cos, lcs, answer, at
                 break

@@ -294,6 +294,23 @@ def test_decontamination_behind_a_run_of_one_word(spark):
     assert [(r.doc_id, r.item_id, r.lcs) for r in got] == [(1, 7, 1.0)] and got[0].cosine <= 1 and got[0].word_start > 60
 
 
+def test_decontamination_of_short_and_long_passages_in_many_documents(spark, monkeypatch):
+    r = random.Random(11)
+    vocab = [f"v{k}" for k in range(2000)]
+    plain = [f"p{k}" for k in range(5000)]
+    texts = [" ".join(r.choice(vocab) for _ in range(n)) for n in (6, 9, 15, 17, 30, 40, 40, 40, 60, 90, 300, 1500)]
+    rows = [(k, " ".join([*r.choices(plain, k=203), t, *r.choices(plain, k=203)])) for k, t in enumerate(texts)]
+    count = decontamination._document_counts
+
+    def many(docs, text_col, index):  # the passages' words stand in a third of 30 million documents
+        return count(docs, text_col, index)[0] * 10_000_000, 30_000_000
+
+    monkeypatch.setattr(decontamination, "_document_counts", many)
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found == {(k, k) for k in range(len(texts))}
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(50):
