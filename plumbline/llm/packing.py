@@ -8,6 +8,7 @@ sum of squared fills, until the emptiest bins are empty and go.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -86,70 +87,88 @@ def _pairs(items: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [(), *[(a,) for a in distinct], *two]
 
 
-def local_search(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY, donors: int = 12, steps: int = 600) -> dict[tuple[int, ...], int]:
+def local_search(bins: dict[tuple[int, ...], int], capacity: int = CAPACITY) -> dict[tuple[int, ...], int]:
     """Exchange documents between underfull bins while the sum of squared fills rises; emptied bins go.
 
     The emptiest bin is the donor. It moves a document to another bin, swaps one for a smaller one, one for two
-    that are smaller together, or two for one, taking the exchange that fills the other bin most. As the other
-    bin is the fuller one, every exchange raises the squared fill, so the search ends. A donor that can give
-    nothing more is left alone; after ``donors`` of these, or when nothing can be saved, it stops.
+    that are smaller together, or two for one, taking the exchange that fills the other bin most. An exchange is
+    made for as many pairs of alike bins as there are at once, so the work grows with the patterns, not with the
+    bins. Each raises the sum of squared fills, so the search ends: when no donor's exchange does, or when as few
+    bins are left as the tokens need.
     """
     bins = {k: n for k, n in bins.items() if n}
-    total = sum(sum(k) * n for k, n in bins.items())
-    fewest = -(-total // capacity)
-    stuck: set[tuple] = set()
-
-    def take(items: tuple, n: int = 1) -> None:
-        bins[items] -= n
+    fewest = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+    count = sum(bins.values())
+    # what underfull patterns give, a row each: weight, documents, room and fill of the bin, whether the pattern is there
+    gifts: list[tuple[tuple, tuple]] = []
+    table = np.zeros((5, 1024), np.int64)
+    rows: dict[tuple, tuple[int, int]] = {}
+    tried: dict[tuple, int] = {}
+    heap: list[tuple[int, tuple]] = []
+
+    def add(items: tuple, n: int) -> None:
+        nonlocal table
+        if bins.get(items) == 1 and n > 0:
+            tried.pop(items, None)  # alike bins may exchange with one another now
+        bins[items] = bins.get(items, 0) + n
         if not bins[items]:
             del bins[items]
-
-    while sum(bins.values()) > fewest and len(stuck) < donors and steps > 0:
-        donor = min((k for k in bins if k not in stuck and sum(k) < capacity), key=lambda k: (sum(k), k), default=None)
-        if donor is None:
-            break
-        take(donor)
-        # exchanges of every other underfull pattern: (pattern, what it gives, weight of that, room)
-        others = [k for k in bins if sum(k) < capacity]
-        gifts = [(i, g, sum(g), capacity - sum(k)) for i, k in enumerate(others) for g in _pairs(k)]
-        moved = False
-        if gifts:
-            weight, room = np.array([g[2] for g in gifts]), np.array([g[3] for g in gifts])
-            size = np.array([len(g[1]) for g in gifts])
-            while donor and steps > 0:
-                steps -= 1
-                best = (0, -1, ())
-                for mine in _pairs(donor)[1:]:
-                    gain = sum(mine) - weight
-                    ok = (gain > 0) & (gain <= room) & (size + len(mine) <= 3)
-                    if ok.any():
-                        k = int(np.argmax(np.where(ok, gain, -1)))
-                        if gain[k] > best[0]:
-                            best = (int(gain[k]), k, mine)
-                if best[1] < 0:
-                    break
-                i, gift, _, _ = gifts[best[1]]
-                before = others[i]
-                if bins.get(before, 0) == 0:
-                    break
-                after = list(before)
-                for x in gift:
-                    after.remove(x)
-                rest = list(donor)
-                for x in best[2]:
-                    rest.remove(x)
-                take(before)
-                new = tuple(sorted([*after, *best[2]], reverse=True))
-                bins[new] = bins.get(new, 0) + 1
-                donor = tuple(sorted([*rest, *gift], reverse=True))
-                moved = True
-                if bins.get(before, 0) == 0:
-                    gone = np.array([g[0] == i for g in gifts])
-                    room = np.where(gone, -1, room)
-        if donor:
-            bins[donor] = bins.get(donor, 0) + 1
-            if not moved:
-                stuck.add(donor)
+            if items in rows:
+                table[4, slice(*rows.pop(items))] = 0
+                tried.pop(items, None)
+        elif items not in rows and sum(items) < capacity:
+            give, at = _pairs(items), len(gifts)
+            while at + len(give) > table.shape[1]:
+                table = np.concatenate([table, np.zeros_like(table)], axis=1)
+            gifts.extend((items, g) for g in give)
+            rows[items] = (at, len(gifts))
+            table[:, at : len(gifts)] = np.array([(sum(g), len(g), capacity - sum(items), sum(items), 1) for g in give]).T
+            heapq.heappush(heap, (sum(items), items))
+
+    for items in list(bins):
+        add(items, 0)
+    while count > fewest:
+        if not heap:
+            # patterns that came later may help those that were tried before
+            heap = [(sum(k), k) for k in rows if tried.get(k, 0) < len(gifts)]
+            heapq.heapify(heap)
+            if not heap:
+                break
+        fill, donor = heap[0]
+        if donor not in rows or tried.get(donor, 0) == len(gifts):
+            heapq.heappop(heap)
+            continue
+        since = tried.get(donor, 0)
+        weight, size, room, filled, there = table[:, since : len(gifts)]
+        there = there.copy()
+        if bins[donor] == 1:
+            there[max(0, rows[donor][0] - since) : max(0, rows[donor][1] - since)] = 0
+        best: tuple[int, int, tuple] = (0, -1, ())
+        for mine in _pairs(donor)[1:]:
+            gain = sum(mine) - weight
+            # the squared fills rise by 2 gain (gain + fill of the other - fill of the donor)
+            ok = (there > 0) & (gain > best[0]) & (gain <= room) & (size + len(mine) <= 3) & (gain + filled > fill)
+            if ok.any():
+                k = int(np.argmax(np.where(ok, gain, -1)))
+                best = (int(gain[k]), k, mine)
+        if best[1] < 0:
+            tried[donor] = len(gifts)
+            heapq.heappop(heap)
+            continue
+        other, gift = gifts[since + best[1]]
+        n = bins[donor] // 2 if other == donor else min(bins[donor], bins[other])
+        after, rest = list(other), list(donor)
+        for x in gift:
+            after.remove(x)
+        for x in best[2]:
+            rest.remove(x)
+        add(donor, -n)
+        add(other, -n)
+        add(tuple(sorted([*after, *best[2]], reverse=True)), n)
+        if left := tuple(sorted([*rest, *gift], reverse=True)):
+            add(left, n)
+        else:
+            count -= n
     return bins
 
 

@@ -196,6 +196,11 @@ def test_local_search_empties_a_bin():
     assert sum(packing.local_search(bins, 100).values()) == 2
 
 
+def test_local_search_exchanges_all_alike_bins_at_once():
+    few, many = ({(60, 30): n, (50, 40): n, (10,): 2 * n} for n in (10, 100_000))
+    assert sum(packing.local_search(few, 100).values()) == 20 and sum(packing.local_search(many, 100).values()) == 200_000
+
+
 def test_packing(spark, docs, texts):
     tok = Tokenizer.from_file(WORD)
     rows = packing.pack_documents(docs, WORD, capacity=512).collect()
