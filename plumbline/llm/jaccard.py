@@ -45,7 +45,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct hashes of a text's shingles."""
 
-    def __init__(self, words: int = WORDS, limit: int = 150_000):
+    def __init__(self, words: int = WORDS, limit: int = 24 << 20):
         import xxhash
 
         self.words, self.cache = words, _Cache(xxhash.xxh3_64_intdigest, limit)

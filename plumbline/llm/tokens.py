@@ -24,6 +24,8 @@ UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏЀ-ҁҊ-ԓ‐-‧‰-
 #: White space before a space: the only place where a run of white space spans two units.
 RUN = re.compile(r"[ \t\n\r] ")
 LONG_UNIT, SEGMENT = 64, 1 << 20
+#: Bytes that a generation of a worker's cache of units holds; that of pre-tokens holds a quarter.
+CACHE_BYTES = 32 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -40,11 +42,26 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    """A dict that asks ``make`` for what is missing. Full, it becomes the old generation, from which hits move back."""
+    """A dict that asks ``make`` for what is missing, bounded in bytes.
+
+    Full, it becomes the old generation, from which hits move back; the two together hold at most twice ``limit``.
+    """
+
+    #: What an entry takes besides its characters, about: the slot in the dict and two object heads.
+    ENTRY = 200
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.left, self.old = make, limit, limit, {}
+
+    def keep(self, key, value):
+        self.left -= self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.left < 0:
+            self.old = dict(self)
+            self.clear()
+            self.left = self.limit
+        self[key] = value
+        return value
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -52,11 +69,7 @@ class _Cache(dict):
             value = self.make(key)
             if len(key) > LONG_UNIT:
                 return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+        return self.keep(key, value)
 
 
 class _Units(_Cache):
@@ -73,11 +86,7 @@ class _Units(_Cache):
                 value = self.word(unit)
                 if len(unit) > LONG_UNIT:
                     return value
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = value
-            return value
+            return self.keep(unit, value)
         sign = self.signs.get(unit[-1:])
         if sign is not None and unit[:-1].isalpha():
             return self[unit[:-1]] + sign
@@ -90,7 +99,7 @@ class Encoder:
     ``frequent`` is a table from pre-token to number of ids, shared by all workers (counts only).
     """
 
-    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, limit: int = 250_000):
+    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, limit: int = CACHE_BYTES):
         import json
         import os
 
@@ -158,16 +167,15 @@ class Encoder:
 
 
 def kept_by_worker(key: tuple, make):
-    """What ``make`` gives, kept for the life of this Python worker, so that later tasks find its caches warm.
+    """What ``make`` gives, kept in this Python worker, so that later tasks find its caches warm.
 
-    At most four such objects are held; each bounds its own size.
+    One such object is held; it goes before another is made. Each bounds its own size in bytes.
     """
     import sys
 
     held = sys.__dict__.setdefault("_plumbline_kept", {})
     if key not in held:
-        while len(held) >= 4:
-            held.pop(next(iter(held)))
+        held.clear()
         held[key] = make()
     return held[key]
 
