@@ -54,6 +54,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

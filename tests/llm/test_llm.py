@@ -242,7 +242,7 @@ def test_line_dedup_near_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for n in (0, 10):
         got = line_dedup.remove_boilerplate(df, min_sites=5, broadcast_lines=n).collect()
-        gone = {r.doc_id for r in got if r._n_removed}
+        gone = {r.doc_id for r in got if r.n_removed}
         assert gone == {k * 10 + s for k in range(5, 8) for s in range(1, k)}
         assert {r.text for r in got if r.doc_id in gone} == {f"own {d // 10} {d % 10}" for d in gone}
     many = spark.createDataFrame([(k, "shared", f"s{k}") for k in range(40)], "doc_id long, text string, source string")
@@ -252,7 +252,7 @@ def test_line_dedup_near_the_threshold(spark):
 def test_line_dedup_on_odd_rows(spark):
     got = line_dedup.remove_boilerplate(odd(spark), min_sites=2)
     rows = {(r.doc_id, r.text) for r in got.collect()}
-    assert got.count() == 12 and (2, "") in rows and (3, None) in rows and set(got.columns) == {*odd(spark).columns, "_n_lines", "_n_removed"}
+    assert got.count() == 12 and (2, "") in rows and (3, None) in rows and set(got.columns) == {*odd(spark).columns, "n_lines", "n_removed"}
     assert line_dedup.remove_boilerplate(empty(spark)).count() == 0 and line_dedup.line_dedup_stage(odd(spark)).columns == odd(spark).columns
 
 
@@ -408,11 +408,11 @@ def test_quality(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     w = quality.train_quality(big, labels)
-    got = quality.score_quality(big, w).join(labels, "doc_id").select(quality.held_out(F.col("doc_id")).alias("h"), "quality", "_score").collect()
+    got = quality.score_quality(big, w).join(labels, "doc_id").select(quality.held_out(F.col("doc_id")).alias("h"), "quality", "quality_score").collect()
     for r in got:
-        assert 0 <= r._score <= 1
+        assert 0 <= r.quality_score <= 1
     held = [r for r in got if r.h]
-    assert sum((r._score >= 0.5) == (r.quality == 1) for r in held) >= 0.95 * len(held)
+    assert sum((r.quality_score >= 0.5) == (r.quality == 1) for r in held) >= 0.95 * len(held)
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert (quality.train_quality(big, flipped) == w).all()  # held-out labels are never seen
 
@@ -420,8 +420,10 @@ def test_quality(spark, docs):
 def test_quality_on_odd_rows(spark):
     w = quality.train_quality(odd(spark), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int"))
     assert not w.any()
-    got = quality.score_quality(odd(spark).drop("_score"), w)
-    assert got.count() == 12 and got.where("_score = 0.5").count() == 12 and quality.score_quality(empty(spark).drop("_score"), w).count() == 0
+    got = quality.score_quality(odd(spark), w)
+    assert got.count() == 12 and got.where("quality_score = 0.5").count() == 12 and quality.score_quality(empty(spark), w).count() == 0
+    kept = quality.quality_stage(odd(spark), spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, quality int"))
+    assert kept.columns == odd(spark).columns
 
 
 # ---- 10
