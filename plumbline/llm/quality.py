@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, unused
-from .tokens import kept_by_worker
+from .tokens import kept_by_worker, together
 
 BITS = 20
 #: The model is fitted on a hash sample of labelled rows, of at most about FIT_ROWS rows and FIT_BYTES bytes of
@@ -29,8 +29,8 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 4
 WORD = r"[^\W_]+|([^\w\s])\1*|_+"
 #: Sets of features by number: words, pairs, triples, pairs of shapes, triples of shapes.
 SETS = 5
-#: Characters of texts whose n-grams are sorted together; bytes that a worker's table of chunks holds.
-TOGETHER, TABLE_BYTES = 1 << 19, 48 << 20
+#: Bytes that a worker's table of chunks holds.
+TABLE_BYTES = 48 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -135,21 +135,6 @@ def shape(word: str) -> str:
     return ("X" if word.isupper() and len(word) > 1 else "Xx" if word[0].isupper() else "x" if word.islower() else "xX") + ("L" if size == "L" else "")
 
 
-def together(texts: list[str | None], most: int = TOGETHER) -> Iterator[list[str | None]]:
-    """The texts in runs of about ``most`` characters; a longer one stands alone."""
-    run: list[str | None] = []
-    held = 0
-    for t in texts:
-        size = len(t) if t else 0
-        if run and held + size > most:
-            yield run
-            run, held = [], 0
-        run.append(t)
-        held += size
-    if run:
-        yield run
-
-
 class Ftrl:
     """FTRL-proximal logistic regression over hashed places; the last weight is the bias."""
 

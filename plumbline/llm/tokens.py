@@ -199,6 +199,25 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+#: Characters of texts that are worked on at once.
+TOGETHER = 1 << 19
+
+
+def together(texts: list[str | None], most: int = TOGETHER) -> Iterator[list[str | None]]:
+    """The texts in runs of about ``most`` characters; a longer one stands alone."""
+    run: list[str | None] = []
+    held = 0
+    for t in texts:
+        size = len(t) if t else 0
+        if run and held + size > most:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += size
+    if run:
+        yield run
+
+
 def pack_table(lengths: dict[str, int]) -> bytes:
     """A compact table: the pre-tokens, then their lengths as 16-bit integers, compressed."""
     keys = "\0".join(lengths).encode()

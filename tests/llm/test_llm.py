@@ -264,7 +264,7 @@ def test_decontamination(spark, docs, texts):
     items = {r.item_id: r.text for r in bench.collect()}
     found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench).collect()}
     assert found == {(d, i) for d, t in texts.items() for i, x in items.items() if x.casefold() in t.casefold()}
-    blocks = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench, block_items=15).collect()}
+    blocks = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench, block_bytes=1000).collect()}
     assert blocks == found
 
 
@@ -305,17 +305,87 @@ def test_decontamination_of_short_and_long_passages_in_many_documents(spark, mon
     plain = [f"p{k}" for k in range(5000)]
     texts = [" ".join(r.choice(vocab) for _ in range(n)) for n in (6, 9, 15, 17, 30, 40, 40, 40, 60, 90, 300, 1500)]
     rows = [(k, " ".join([*r.choices(plain, k=203), t, *r.choices(plain, k=203)])) for k, t in enumerate(texts)]
-    count = decontamination._document_counts
+    count = decontamination.document_counts
 
-    def many(docs, text_col, index):  # the passages' words stand in a third of 30 million documents
-        return count(docs, text_col, index)[0] * 10_000_000, 30_000_000
+    def many(docs, text_col, known):  # the passages' words stand in a third of 30 million documents
+        return {w: 10_000_000 * k for w, k in count(docs, text_col, known)[0].items()}, 30_000_000
 
-    monkeypatch.setattr(decontamination, "_document_counts", many)
+    monkeypatch.setattr(decontamination, "document_counts", many)
     bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     found = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert found == {(k, k) for k in range(len(texts))}
 
 
+def test_decontamination_behind_a_decoy_of_the_same_words(spark):
+    r = random.Random(4)
+    passages = [[f"p{k}x{r.randrange(300)}" for _ in range(r.randrange(20, 60))] for k in range(40)]
+    rows = []
+    for k, p in enumerate(passages):
+        decoy = r.sample(p, len(p))
+        rows.append((k, " ".join([*decoy, *[f"z{r.randrange(4000)}" for _ in range(300)], *p, "end"])))
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    got = {x.doc_id: (x.item_id, x.lcs) for x in decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {k: (k, 1.0) for k in range(40)}
+
+
+def brute_leaks(texts, items, min_lcs=decontamination.MIN_LCS):
+    """Each passage against all texts by the words alone: verbatim, or nowhere near its words in any stretch."""
+    found, far = set(), set()
+    for d, t in texts.items():
+        ws = decontamination.words(t or "")
+        joined = f" {' '.join(ws)} "
+        have = set(ws)
+        for i, x in items.items():
+            p = decontamination.words(x)
+            if f" {' '.join(p)} " in joined:
+                found.add((d, i))
+            elif sum(w in have for w in p) < min_lcs * len(p):
+                far.add((d, i))
+    return found, far
+
+
+def test_decontamination_against_forty_thousand_words(spark):
+    """A benchmark of 40,000 different words: all verbatim passages are found, none whose words aren't there."""
+    r = random.Random(8)
+    vocab = [f"{a}{b}{k}" for k in range(40) for a in "abcdefghij" for b in ("ra", "mo", "ti", "qu", "ze") for _ in range(1)] + [f"word{k}" for k in range(38_000)]
+    r.shuffle(vocab)
+    items, at = {}, 0
+    while at < len(vocab):
+        n = r.choice((12, 30, 45, 70, 300))
+        items[len(items)] = " ".join(vocab[at : at + n])
+        at += n
+    wide = [f"c{k}" for k in range(3000)]
+    texts = {}
+    for d in range(400):
+        parts = r.choices(wide, k=r.randrange(50, 400)) + r.choices(vocab, k=100)
+        r.shuffle(parts)
+        if d % 2:
+            parts[len(parts) // 3 : len(parts) // 3] = items[r.randrange(len(items))].split()
+        texts[d] = " ".join(parts)
+    texts[400] = " ".join([*r.choices(wide, k=600_000), *items[5].split(), *r.choices(wide, k=3)])  # some megabytes
+    found, far = brute_leaks(texts, items)
+    assert len(found) >= 200
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.find_leaks(df, bench).collect()}
+    assert found <= got and not got & far
+
+
+def test_decontamination_leaves_words_outside_the_passages_apart(spark):
+    """Words that no passage has match nothing, whatever the size of the benchmark."""
+    passage = [f"q{k}" for k in range(30)]
+    doc = passage[::3] + [f"other{k}" for k in range(20)]
+    bench = [(1, " ".join(passage))] + [(k, f"filler{k} text{k} more{k}") for k in range(2, 60)]
+    got = decontamination.find_leaks(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert got == []
+
+
+def test_decontamination_stage_with_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "a text without an id, of some words")], "item_id long, text string")
+    kept = decontamination.decontamination_stage(odd(spark), bench)
+    assert kept.columns == odd(spark).columns and kept.count() == 11
+
+
 def test_lcs():
     r = random.Random(2)
     for _ in range(50):
