@@ -189,7 +189,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
 def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (float32, 2**bits and the bias) from labelled rows that aren't held out; without any, all zero (scores 0.5).
 
-    Features are made on the executors; the learner sees them in an order fixed by a hash of the id. Null labels
+    Features are made on all executors; one task learns from them, in an order fixed by a hash of the id, and sends
+    the weights alone to the driver. Null labels
     and ids join nothing; repeated labels and texts of an id count once (see ``fit_sample``). Classes are
     weighted to count alike.
     """
@@ -209,17 +210,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, id_col:
                     x.append(np.bincount(where, value[order[i:j]], len(places)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["id", "y", "at", "x"])
 
-    data = fit_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes).mapInArrow(features, "id long, y int, at binary, x binary").collect()
-    data.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
-    bias = np.array([1 << bits])
-    rows = [(np.append(np.frombuffer(r.at, "<i4").astype(np.int64), bias), np.append(np.frombuffer(r.x, "<f4").astype(float), 1.0), r.y) for r in data]
-    n = [max(1, sum(y == c for *_, y in rows)) for c in (0, 1)]
-    weight = [min(4.0, sum(n) / (2 * c)) for c in n]
-    model = Ftrl(bits)
-    for _ in range(epochs):
-        for at, x, y in rows:
-            model.learn(at, x, y, weight[y])
-    return model.weights(slice(None)).astype(np.float32)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        held.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        n = [max(1, sum(r[1] == c for r in held)) for c in (0, 1)]
+        weight = [min(4.0, sum(n) / (2 * c)) for c in n]
+        model = Ftrl(bits)
+        for _ in range(epochs):
+            for _, y, at, x in held:
+                model.learn(np.append(np.frombuffer(at, "<i4"), 1 << bits), np.append(np.frombuffer(x, "<f4"), 1.0).astype(float), y, weight[y])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())], ["w"])
+
+    sample = fit_sample(docs, labels, id_col, text_col, label_col, fit_rows, fit_bytes).mapInArrow(features, "id long, y int, at binary, x binary")
+    got = sample.repartition(1).mapInArrow(learn, "w binary").collect()  # the sample is bounded, so one task learns from it
+    return np.frombuffer(got[0].w, "<f4") if got else np.zeros((1 << bits) + 1, np.float32)
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
