@@ -1,4 +1,4 @@
-"""Command line: validate, inspect, trials, describe, probe."""
+"""Command line: validate, inspect, trials, describe, fetch, probe."""
 
 from __future__ import annotations
 
@@ -11,14 +11,19 @@ from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
+from . import constants as C
 from .errors import EngineError, SchemaError
-from .operators import grid, probe
+from .operators import grid
 from .plans.describe import describe_series
 from .plans.pipeline import load_config, run_validation
 from .sources import series, suggest, tradelog
 from .sources.symbology import load_symbology
 
 
+#: Where a level series comes from.
+SOURCE = (("--source", {"choices": ("file", "http"), "default": "file"}), ("--from-file", {}), ("--url", {}), ("--key-variable", {}), ("--start", {}), ("--end", {}))
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -57,18 +62,52 @@ def trials(args: argparse.Namespace) -> None:
 
 
 def describe(args: argparse.Namespace) -> None:
-    levels, missing = series.read_series(session(), args.file, args.symbol)
+    """From a file, or from what ``fetch`` has brought into a cache."""
+    if args.file:
+        levels, missing = series.read_series(session(), args.file, args.symbol)
+    else:
+        if not args.cache:
+            raise SchemaError("describe reads a --file or a --cache")
+        levels, missing = series.load_series(session(), series.FileCache(args.cache), _key(args), _fetcher(args), _now())
     print(json.dumps(describe_series(levels, args.risk_free_rate) | {"missing": missing}, indent=2, sort_keys=True))
 
 
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
+def _key(args: argparse.Namespace) -> series.CacheKey:
+    return series.CacheKey(args.source, "levels", args.symbol, args.start or "", args.end or "")
+
+
+def _fetcher(args: argparse.Namespace):
+    if args.source == "file":
+        if not args.from_file or not os.path.isfile(args.from_file):
+            raise SchemaError(f"no file to read: {args.from_file or 'name it with --from-file'}")
+        return series.file_fetcher(args.from_file)
+    if not args.url:
+        raise SchemaError("an address is needed: --url, with {symbol}, {start}, {end} and {key} where they belong")
+    return series.http_fetcher(args.url, args.key_variable)
+
+
+def fetch(args: argparse.Namespace) -> None:
+    """Bring a level series into the cache; every request is noted, also those that the cache answers."""
+    spark, cache = session(), series.FileCache(args.cache)
+    before = cache.summary(spark)["downloads"]
+    levels, missing = series.load_series(spark, cache, _key(args), _fetcher(args), _now())
+    told = cache.summary(spark)
+    print(json.dumps(told | {"observations": levels.count(), "missing": missing, "was_cached": told["downloads"] == before, "damaged": cache.verify(spark)}, sort_keys=True))
+    if args.out:
+        kept = series.to_returns(levels) if args.as_returns else levels.withColumnRenamed("value", "ret")
+        series.write_reference_csv(kept.selectExpr(f"day * {C.DAY_NS} AS period_end_ns", "ret"), args.out)
+
+
 def probe_log(args: argparse.Namespace) -> None:
     spark, mapping = session(), tradelog.load_mapping(args.mapping)
-    rows = tradelog.read_strings(spark, args.log, mapping.delimiter)
-    names = [r[0] for r in rows.select(mapping.columns["symbol"]).distinct().collect()]  # a row a symbol
-    bare = tradelog.unit_symbols(names)
-    trades, _ = tradelog.bind(rows, mapping, bare)
-    print(json.dumps({"declared": tradelog.read_declarations(spark, args.log, mapping)}, default=str))
-    print(suggest.symbology_draft(probe.probe_symbols(trades)), end="")
+    probes = tradelog.probe_trade_log(spark, args.log, mapping)
+    for line in suggest.evidence_lines(tradelog.read_declarations(spark, args.log, mapping), probes, mapping):
+        print(f"# {line}")
+    print(suggest.symbology_draft(probes), end="")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -78,7 +117,8 @@ def main(argv: list[str] | None = None) -> int:
         ("validate", validate, (("log", {}), ("--config", {"required": True}), ("--out", {"required": True}), ("--also-json", {"action": "store_true"}))),
         ("inspect", inspect, (("log", {}),)),
         ("trials", trials, (("logs", {"nargs": "+"}), ("--config", {"required": True}), ("--out", {"required": True}))),
-        ("describe", describe, (("symbol", {}), ("--file", {"required": True}), ("--risk-free-rate", {"type": float, "default": 0.0}))),
+        ("describe", describe, (("symbol", {}), ("--file", {}), *SOURCE, ("--cache", {}), ("--risk-free-rate", {"type": float, "default": 0.0}))),
+        ("fetch", fetch, (("symbol", {}), *SOURCE, ("--cache", {"required": True}), ("--as-returns", {"action": "store_true"}), ("--out", {}))),
         ("probe", probe_log, (("log", {}), ("--mapping", {"required": True}))),
     ):
         s = sub.add_parser(name)

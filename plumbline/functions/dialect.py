@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .staging import staged
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -23,6 +25,8 @@ class Relation:
     inputs: tuple[Relation, ...] = ()
     values: tuple[tuple[str, object], ...] = ()
     other: str | None = field(default=None, compare=False)
+    #: Small and read more than once: Spark writes it to the shared folder and reads it from there.
+    stage: bool = field(default=False, compare=False)
 
     def text(self, sql: str) -> str:
         for k, v in self.values:
@@ -37,7 +41,8 @@ class Relation:
             for t in TABLES:
                 if f"{{{t}}}" in sql and t not in found:
                     found[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            made[self] = spark.sql(sql, **{k: v for k, v in found.items() if f"{{{k}}}" in sql})
+            df = spark.sql(sql, **{k: v for k, v in found.items() if f"{{{k}}}" in sql})
+            made[self] = staged(df, self.name) if self.stage else df
         return made[self]
 
     def chain(self) -> list[Relation]:

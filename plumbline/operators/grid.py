@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..errors import CalendarCoverageError, GridSparsityError, InsufficientSampleError, SchemaError, TradeIntegrityError
+from ..functions.staging import staged
 
 SESSIONS = """
 WITH days AS (SELECT explode(sequence(lo, hi)) AS day FROM (SELECT CAST(<lo> AS BIGINT) AS lo, CAST(<hi> AS BIGINT) AS hi FROM {bounds}) b),
@@ -38,27 +39,31 @@ SELECT log_id, trade_id, entry_ns, exit_ns, pnl,
        unix_date(add_months(trunc(date_from_unix_date(CAST(exit_ns div 86400000000000 AS INT)), 'MM'), 1)) * 86400000000000 - 1 AS period_end_ns
 FROM {trades}"""
 
-#: Every period between a log's first and last one, empty ones too.
+#: The only pass over the trades of a grid; all that follows reads a row a log and traded period.
+TOTALS = "SELECT log_id, period_end_ns, sum(pnl) AS pnl, count(*) AS n_trades FROM {keyed} GROUP BY log_id, period_end_ns"
+
+#: Every period between a log's first and last one, empty ones too. Sessions are met day by day, not by a range.
 DAILY_GRID = """
-SELECT k.log_id, s.close_ns AS period_end_ns FROM {sessions} s
-JOIN (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {keyed} GROUP BY log_id) k ON s.close_ns >= k.lo AND s.close_ns <= k.hi"""
+SELECT k.log_id, s.close_ns AS period_end_ns
+FROM (SELECT log_id, lo, hi, explode(sequence(lo div 86400000000000, hi div 86400000000000)) AS day
+      FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {totals} GROUP BY log_id) t) k
+JOIN {sessions} s ON s.close_ns div 86400000000000 = k.day AND s.close_ns >= k.lo AND s.close_ns <= k.hi"""
 
 WEEKLY_GRID = """
 SELECT log_id, explode(sequence(lo, hi, 604800000000000)) AS period_end_ns
-FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {keyed} GROUP BY log_id) k"""
+FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {totals} GROUP BY log_id) k"""
 
 MONTHLY_GRID = """
 SELECT log_id, unix_date(add_months(first, CAST(step AS INT))) * 86400000000000 - 1 AS period_end_ns
 FROM (SELECT log_id, first, explode(sequence(0, months)) AS step
       FROM (SELECT log_id, date_from_unix_date(CAST((min(period_end_ns) + 1) div 86400000000000 AS INT)) AS first,
                    CAST(months_between(date_from_unix_date(CAST((max(period_end_ns) + 1) div 86400000000000 AS INT)), date_from_unix_date(CAST((min(period_end_ns) + 1) div 86400000000000 AS INT))) AS INT) AS months
-            FROM {keyed} GROUP BY log_id) k) m"""
+            FROM {totals} GROUP BY log_id) k) m"""
 
 PERIOD_SUMS = """
 SELECT g.log_id, row_number() OVER (PARTITION BY g.log_id ORDER BY g.period_end_ns) - 1 AS period_idx, g.period_end_ns,
        coalesce(s.pnl, 0e0) AS pnl, coalesce(s.n_trades, 0) AS n_trades
-FROM {grid} g LEFT JOIN (SELECT log_id, period_end_ns, sum(pnl) AS pnl, count(*) AS n_trades FROM {keyed} GROUP BY log_id, period_end_ns) s
-ON g.log_id = s.log_id AND g.period_end_ns = s.period_end_ns"""
+FROM {grid} g LEFT JOIN {totals} s ON g.log_id = s.log_id AND g.period_end_ns = s.period_end_ns"""
 
 RETURNS = {
     C.FIXED_INITIAL: "SELECT log_id, period_idx, period_end_ns, n_trades, pnl / <capital> AS ret FROM {sums}",
@@ -161,17 +166,21 @@ def trade_returns(trades: DataFrame, basis: str = C.FIXED_INITIAL, capital: floa
 
 
 def period_sums(trades: DataFrame, period: str, sessions: DataFrame | None = None) -> DataFrame:
-    """(log_id, period_idx, period_end_ns, pnl, n_trades) of all periods from the first to the last traded one."""
+    """(log_id, period_idx, period_end_ns, pnl, n_trades) of all periods from the first to the last traded one.
+
+    The trades are read once, into a staged table of traded periods.
+    """
+    if period not in C.PERIODS:
+        raise SchemaError(f"no such period: {period}")
     if period == "DAILY":
         sessions = sessions if sessions is not None else weekday_sessions(trades)
-        keyed = _sql(trades, DAILY_KEY, trades=trades, sessions=sessions)
-        grid = _sql(trades, DAILY_GRID, keyed=keyed, sessions=sessions)
-    elif period in ("WEEKLY", "MONTHLY"):
-        keyed = _sql(trades, WEEKLY_KEY if period == "WEEKLY" else MONTHLY_KEY, trades=trades)
-        grid = _sql(trades, WEEKLY_GRID if period == "WEEKLY" else MONTHLY_GRID, keyed=keyed)
+        totals = staged(_sql(trades, TOTALS, keyed=_sql(trades, DAILY_KEY, trades=trades, sessions=sessions)), "daily-totals")
+        grid = _sql(trades, DAILY_GRID, totals=totals, sessions=sessions)
     else:
-        raise SchemaError(f"no such period: {period}")
-    return _sql(trades, PERIOD_SUMS, grid=grid, keyed=keyed)
+        key, rows = (WEEKLY_KEY, WEEKLY_GRID) if period == "WEEKLY" else (MONTHLY_KEY, MONTHLY_GRID)
+        totals = staged(_sql(trades, TOTALS, keyed=_sql(trades, key, trades=trades)), f"{period.lower()}-totals")
+        grid = _sql(trades, rows, totals=totals)
+    return _sql(trades, PERIOD_SUMS, grid=grid, totals=totals)
 
 
 def period_returns(trades: DataFrame, period: str, basis: str = C.FIXED_INITIAL, capital: float = 1.0, sessions: DataFrame | None = None) -> DataFrame:

@@ -49,15 +49,22 @@ LONG_RUN_VARIANCE = """
 SELECT g.log_id, max(b.bandwidth) AS bandwidth, sum(CASE WHEN lag = 0 THEN gamma ELSE 2e0 * (1e0 - lag / (b.bandwidth + 1e0)) * gamma END) AS long_run_variance
 FROM {gammas} g JOIN {bandwidths} b ON g.log_id = b.log_id WHERE g.lag <= b.bandwidth GROUP BY g.log_id"""
 
+#: Of the returns, and of their excess e over the rate; a spread at the size of rounding errors counts as none.
 PERIOD_METRICS = """
-SELECT log_id, count(*) AS n_periods, CAST(sum(CASE WHEN n_trades > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS active_fraction,
-       count(*) / <ppy> AS years, sum(ret) AS cumulative_return,
-       CASE WHEN 1e0 + sum(ret) > 0 THEN power(1e0 + sum(ret), <ppy> / count(*)) - 1e0 END AS cagr,
-       stddev_samp(ret) * sqrt(<ppy>) AS volatility_annualised,
-       avg(ret - <rf>) / stddev_samp(ret - <rf>) AS sharpe_per_period, sqrt(<ppy>) * avg(ret - <rf>) / stddev_samp(ret - <rf>) AS sharpe_annualised,
-       CASE WHEN sum(power(least(ret - <rf>, 0e0), 2e0)) > 0 THEN sqrt(<ppy>) * avg(ret - <rf>) / sqrt(avg(power(least(ret - <rf>, 0e0), 2e0))) END AS sortino,
-       CASE WHEN var_pop(ret - <rf>) > 0 THEN avg(ret - <rf>) / var_pop(ret - <rf>) END AS kelly
-FROM {returns} GROUP BY log_id"""
+SELECT log_id, n_periods, active_fraction, n_periods / <ppy> AS years, growth - 1e0 AS cumulative_return,
+       CASE WHEN growth > 0 THEN power(growth, <ppy> / n_periods) - 1e0 END AS cagr, deviation * sqrt(<ppy>) AS volatility_annualised,
+       CASE WHEN spread THEN mean / deviation END AS sharpe_per_period, CASE WHEN spread THEN sqrt(<ppy>) * mean / deviation END AS sharpe_annualised,
+       CASE WHEN downside > 0 THEN sqrt(<ppy>) * mean / sqrt(downside) END AS sortino, CASE WHEN spread AND variance > 0 THEN mean / variance END AS kelly
+FROM (SELECT log_id, count(*) AS n_periods, CAST(sum(CASE WHEN n_trades > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS active_fraction, <growth> AS growth,
+             stddev_samp(ret) AS deviation, avg(ret - <rf>) AS mean, var_pop(ret - <rf>) AS variance, avg(power(least(ret - <rf>, 0e0), 2e0)) AS downside,
+             max(ret) > min(ret) AND stddev_pop(ret - <rf>) > count(*) * 2.220446049250313e-16 * max(abs(ret - <rf>)) AS spread
+      FROM {returns} GROUP BY log_id) m"""
+
+#: What one unit of capital becomes: returns on the initial capital add up, returns on current equity compound.
+GROWTH = {
+    C.FIXED_INITIAL: "1e0 + sum(ret)",
+    C.CURRENT_EQUITY: "aggregate(transform(array_sort(collect_list(struct(period_idx, ret))), x -> x.ret), 1e0, (level, r) -> level * (1e0 + r))",
+}
 
 EQUITY = """
 SELECT log_id, period_idx, <capital> * (1e0 + sum(ret) OVER (PARTITION BY log_id ORDER BY period_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS equity FROM {returns}"""
@@ -111,9 +118,25 @@ def drawdown_profile(curve: DataFrame, capital: float) -> DataFrame:
     return _sql(curve, DRAWDOWN.replace("<capital>", f"CAST({capital} AS DOUBLE)"), curve=curve)
 
 
-def period_metrics(returns: DataFrame, periods_per_year: float, risk_free_rate: float = 0.0) -> DataFrame:
+def period_metrics(returns: DataFrame, periods_per_year: float, risk_free_rate: float = 0.0, basis: str = C.FIXED_INITIAL) -> DataFrame:
+    """A row a log. Growth follows the basis that the returns stand on; what isn't defined is null (``period_warnings`` says why)."""
     rf = de_annualise_rate(risk_free_rate, periods_per_year)
-    return _sql(returns, PERIOD_METRICS.replace("<ppy>", f"CAST({periods_per_year!r} AS DOUBLE)").replace("<rf>", f"CAST({rf!r} AS DOUBLE)"), returns=returns)
+    sql = PERIOD_METRICS.replace("<growth>", GROWTH[basis]).replace("<ppy>", f"CAST({periods_per_year!r} AS DOUBLE)").replace("<rf>", f"CAST({rf!r} AS DOUBLE)")
+    return _sql(returns, sql, returns=returns)
+
+
+def period_warnings(row: dict) -> list[str]:
+    """What a reader of a row of ``period_metrics`` should know."""
+    out = []
+    if row["sharpe_per_period"] is None:
+        out.append("the returns have no dispersion, so no Sharpe ratio is defined")
+    if row["active_fraction"] < 1:
+        out.append(f"{row['active_fraction']:.4f} of the periods have a trade; the empty ones count, as capital stood ready in them")
+    if row["cagr"] is None:
+        out.append("the capital is used up at the end, so no yearly growth is defined")
+    if row["sortino"] is None:
+        out.append("no period fell below the rate, so no Sortino ratio is defined")
+    return out
 
 
 def autocovariances(returns: DataFrame, max_lag: int, rf: float = 0.0) -> DataFrame:

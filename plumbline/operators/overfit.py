@@ -17,11 +17,11 @@ from .. import constants as C
 from ..errors import OverfitInputError
 from ..functions.special import normal_cdf, normal_ppf
 from .grid import _sql
-from .resample import DRAWS, INDICES, MD5, XXHASH, estimate_block_length, fill
+from .resample import DRAWS, INDICES, MD5, XXHASH, estimate_block_length, fill, path_ids
 
 MOMENTS = """
-SELECT c.log_id, max(c.n) AS n_periods, max(c.mu) / sqrt(sum(d * d) / count(*)) AS sharpe,
-       (sum(d * d * d) / count(*)) / power(sum(d * d) / count(*), 1.5e0) AS skewness, (sum(d * d * d * d) / count(*)) / power(sum(d * d) / count(*), 2e0) AS kurtosis
+SELECT c.log_id, max(c.n) AS n_periods, max(c.mu) / nullif(sqrt(sum(d * d) / count(*)), 0e0) AS sharpe,
+       (sum(d * d * d) / count(*)) / nullif(power(sum(d * d) / count(*), 1.5e0), 0e0) AS skewness, (sum(d * d * d * d) / count(*)) / nullif(power(sum(d * d) / count(*), 2e0), 0e0) AS kurtosis
 FROM (SELECT log_id, c AS d, n, mu FROM {centred}) c GROUP BY c.log_id"""
 
 PSR_Z = """
@@ -32,26 +32,25 @@ TRIAL_SHARPES = """
 SELECT config_id, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret - <rf>) / stddev_samp(ret) ELSE 0e0 END AS sharpe FROM {trials} GROUP BY config_id"""
 
 BLOCKS = """
-SELECT config_idx, period_idx div <size> AS block, CAST(count(*) AS DOUBLE) AS n, sum(ret) AS s, sum(ret * ret) AS ss
-FROM {trials} WHERE period_idx < <size> * <splits> GROUP BY config_idx, period_idx div <size>"""
+SELECT config_idx, block, CAST(count(*) AS DOUBLE) AS n, sum(ret) AS s, sum(ret * ret) AS ss
+FROM (SELECT config_idx, ret, period_idx div <size> AS block FROM {trials}) t WHERE block < <splits> GROUP BY config_idx, block"""
 
-MASKS = "SELECT mask FROM (SELECT explode(sequence(CAST(0 AS BIGINT), CAST(<all> - 1 AS BIGINT))) AS mask) m WHERE bit_count(mask) = <half>"
-
-#: Sharpe ratios inside and outside of each mask, for every configuration.
+#: Sharpe ratios inside and outside of each mask, for every configuration. Sums over all choices of the lower and of
+#: the upper half of the blocks are made once a configuration; a mask then looks up one of each.
 SIDES = """
-SELECT mask, config_idx,
-       CASE WHEN v1 > <eps> THEN (s1 / n1) / sqrt(v1) ELSE 0e0 END AS inside, CASE WHEN v0 > <eps> THEN (s0 / n0) / sqrt(v0) ELSE 0e0 END AS outside
+SELECT mask, config_idx, CASE WHEN v1 > <eps> THEN (s1 / n1) / sqrt(v1) ELSE 0e0 END AS inside, CASE WHEN v0 > <eps> THEN (s0 / n0) / sqrt(v0) ELSE 0e0 END AS outside
 FROM (SELECT mask, config_idx, n1, s1, n0, s0, (q1 - s1 * s1 / n1) / (n1 - 1e0) AS v1, (q0 - s0 * s0 / n0) / (n0 - 1e0) AS v0
-      FROM (SELECT mask, config_idx, sum(CASE WHEN b = 1 THEN n END) AS n1, sum(CASE WHEN b = 1 THEN s END) AS s1, sum(CASE WHEN b = 1 THEN ss END) AS q1,
-                   sum(CASE WHEN b = 0 THEN n END) AS n0, sum(CASE WHEN b = 0 THEN s END) AS s0, sum(CASE WHEN b = 0 THEN ss END) AS q0
-            FROM (SELECT mask, block, (shiftright(mask, CAST(block AS INT)) & 1) AS b FROM (SELECT mask, explode(sequence(CAST(0 AS BIGINT), CAST(<splits> - 1 AS BIGINT))) AS block FROM {masks}) x) k
-            JOIN {blocks} t USING (block) GROUP BY mask, config_idx) g) v"""
-SIDES_DUCK = SIDES.replace("(shiftright(mask, CAST(block AS INT)) & 1)", "((mask >> CAST(block AS INT)) & 1)").replace("explode(sequence(", "unnest(generate_series(")
-
+      FROM (SELECT mask, config_idx, n1, s1, q1, all_n - n1 AS n0, all_s - s1 AS s0, all_ss - q1 AS q0
+            FROM (SELECT mask, config_idx, all_n, all_s, all_ss, low_n[lo] + high_n[hi] AS n1, low_s[lo] + high_s[hi] AS s1, low_ss[lo] + high_ss[hi] AS q1
+                  FROM (SELECT *, CAST(mask & <low_mask> AS INT) AS lo, CAST(shiftright(mask, <low_bits>) AS INT) AS hi
+                        FROM (SELECT *, explode(filter(sequence(CAST(0 AS BIGINT), CAST(<all> - 1 AS BIGINT)), m -> bit_count(m) = <half>)) AS mask
+                              FROM (SELECT config_idx, all_n, all_s, all_ss, <tables>
+                                    FROM (SELECT config_idx, collect_list(struct(block, n, s, ss)) AS b, sum(n) AS all_n, sum(s) AS all_s, sum(ss) AS all_ss FROM {blocks} GROUP BY config_idx) p) t) x) y) z) g) v"""
+
+#: Where the best configuration inside a mask stands among all of them outside; one grouping by mask.
 LOGITS = """
-SELECT r.mask, CAST(sum(CASE WHEN s.outside <= r.best THEN 1 ELSE 0 END) AS BIGINT) AS place, count(*) AS n_configs
-FROM (SELECT mask, outside AS best FROM (SELECT mask, outside, row_number() OVER (PARTITION BY mask ORDER BY inside DESC, config_idx) AS p FROM {sides}) w WHERE p = 1) r
-JOIN {sides} s ON r.mask = s.mask GROUP BY r.mask"""
+SELECT mask, CAST(size(filter(places, o -> o <= best)) AS BIGINT) AS place, CAST(size(places) AS BIGINT) AS n_configs
+FROM (SELECT mask, max_by(outside, struct(inside, -config_idx)) AS best, collect_list(outside) AS places FROM {sides} GROUP BY mask) m"""
 
 PBO = """
 SELECT CAST(sum(CASE WHEN lg <= 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS probability, percentile(lg, 0.5e0) AS median_logit, count(*) AS n_combinations, max(n_configs) AS n_configs
@@ -139,8 +138,15 @@ def trial_sharpes(trials: DataFrame, rf: float = 0.0) -> DataFrame:
     return _sql(trials, TRIAL_SHARPES.replace("<rf>", f"CAST({rf!r} AS DOUBLE)"), trials=trials)
 
 
-def cscv_values(n_periods: int, splits: int) -> dict:
-    return {"size": n_periods // splits, "splits": splits, "all": 1 << splits, "half": splits // 2, "eps": "1e-30"}
+def cscv_values(size: int | str, splits: int) -> dict:
+    """``size`` is the periods of a block, a number or SQL for one."""
+    low = splits // 2
+    table = lambda x, first, bits: (
+        f"transform(sequence(CAST(0 AS BIGINT), CAST({(1 << bits) - 1} AS BIGINT)), m -> aggregate(b, 0e0, (total, y) -> total + "
+        f"CASE WHEN y.block >= {first} AND y.block < {first + bits} AND (shiftright(m, CAST(y.block AS INT) - {first}) & 1) = 1 THEN y.{x} ELSE 0e0 END))"
+    )
+    tables = ", ".join(f"{table(x, first, bits)} AS {side}_{x}" for side, first, bits in (("low", 0, low), ("high", low, splits - low)) for x in ("n", "s", "ss"))
+    return {"size": size, "splits": splits, "all": 1 << splits, "half": splits // 2, "eps": "1e-30", "low_mask": (1 << low) - 1, "low_bits": low, "tables": tables}
 
 
 def probability_of_backtest_overfitting(trials: DataFrame, n_splits: int = C.DEFAULT_CSCV_SPLITS) -> dict:
@@ -151,25 +157,35 @@ def probability_of_backtest_overfitting(trials: DataFrame, n_splits: int = C.DEF
         raise OverfitInputError("a matrix has two configurations at least", n_configs, 2)
     if n_periods // n_splits < 2:
         raise OverfitInputError("a split has two periods at least", n_periods // n_splits, 2)
-    v = cscv_values(n_periods, n_splits)
-    # few rows from here on: a block and configuration each, and the masks
+    v = cscv_values(n_periods // n_splits, n_splits)
+    # few rows from here on: a block and configuration each, then a mask and configuration
     blocks = _sql(trials, fill(BLOCKS, v), trials=trials)
-    masks = _sql(trials, fill(MASKS, v))
-    sides = _sql(trials, fill(SIDES, v), masks=masks, blocks=blocks)
+    sides = _sql(trials, fill(SIDES, v), blocks=blocks)
     logits = _sql(trials, LOGITS, sides=sides)
     row = _sql(trials, PBO, logits=logits).first()
     return row.asDict() | {"n_splits": n_splits, "periods_used": v["size"] * n_splits}
 
 
-def superior_predictive_ability(trials: DataFrame, seed: int, n_bootstrap: int = 1000, block_length: float | None = None, rng: str = "xxhash64") -> dict:
-    """Against a benchmark of zero: subtract another benchmark from ``ret`` first. One set of draws serves all configurations."""
+def less_benchmark(trials: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Trials' returns over those of a benchmark (period_idx, ret), which must have each of their periods once and no other."""
+    periods = trials.select("period_idx").distinct().join(benchmark.select("period_idx", F.col("ret").alias("rival")), "period_idx", "full_outer")
+    n, lost = periods.agg(F.count("*"), F.count_if(F.col("rival").isNull())).first()
+    if lost or n != trials.agg(F.count_distinct("period_idx")).first()[0]:
+        raise OverfitInputError("the benchmark must cover exactly the periods of the trials", benchmark.count(), n)
+    return trials.join(benchmark.select("period_idx", F.col("ret").alias("rival")), "period_idx").withColumn("ret", F.col("ret") - F.col("rival")).drop("rival")
+
+
+def superior_predictive_ability(trials: DataFrame, seed: int, n_bootstrap: int = 1000, block_length: float | None = None, rng: str = "xxhash64", benchmark: DataFrame | None = None) -> dict:
+    """Against a benchmark's returns (period_idx, ret), or zero without one. One set of draws serves all configurations."""
+    if benchmark is not None:
+        trials = less_benchmark(trials, benchmark)
     n_obs, n_configs = trials.agg(F.count_distinct("period_idx"), F.count_distinct("config_idx")).first()
     if n_obs < 8:
         raise OverfitInputError("too few periods", n_obs, 8)
     best = trials.groupBy("config_idx").agg(F.avg("ret").alias("m")).agg(F.max(F.struct("m", (-F.col("config_idx")).alias("c")))).first()[0]
     b = block_length if block_length is not None else estimate_block_length(trials.where(F.col("config_idx") == -best.c).select("period_idx", "ret")).block_length
-    v = {"n_obs": n_obs, "n_steps": n_obs, "restart": f"CAST({1 / b!r} AS DOUBLE)", "seed": seed, "stream": "spa"} | (MD5 if rng == "md5" else XXHASH)
-    ids = trials.sparkSession.range(n_bootstrap).withColumnRenamed("id", "path_id")
+    v = {"n_obs": n_obs, "restart": f"CAST({1 / b!r} AS DOUBLE)", "seed": seed, "stream": "spa"} | (MD5 if rng == "md5" else XXHASH)
+    ids = path_ids(trials.sparkSession, n_bootstrap, n_obs, n_obs)
     indices = _sql(trials, fill(INDICES, v), draws=_sql(trials, fill(DRAWS, v), path_ids=ids))
     replicates = _sql(trials, fill(REPLICATES, v), indices=indices, trials=trials)
     row = _sql(trials, fill(SPA, v), trials=trials, replicates=replicates).first()

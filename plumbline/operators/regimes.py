@@ -27,13 +27,13 @@ LABELS_DUCK = LABELS.replace("size(filter(tc, c -> c <= trend))", "len(list_filt
 
 ATTRIBUTION = """
 SELECT log_id, joint, count(*) AS n, sum(ret) AS total, avg(ret) AS mean, var_samp(ret) AS variance,
-       abs(sum(ret)) / sum(abs(sum(ret))) OVER (PARTITION BY log_id) AS share FROM {labels} WHERE joint >= 0 GROUP BY log_id, joint"""
+       coalesce(abs(sum(ret)) / nullif(sum(abs(sum(ret))) OVER (PARTITION BY log_id), 0e0), 0e0) AS share FROM {labels} WHERE joint >= 0 GROUP BY log_id, joint"""
 
 WELCH = """
 WITH g AS (SELECT log_id, n, mean, variance, n / variance AS w FROM {attribution} WHERE n >= 2 AND variance > 0),
 t AS (SELECT log_id, count(*) AS k, sum(w) AS total, sum(w * mean) / sum(w) AS centre FROM g GROUP BY log_id),
-s AS (SELECT g.log_id, max(t.k) AS k, sum(g.w * power(g.mean - t.centre, 2e0)) / (max(t.k) - 1e0) AS num, sum(power(1e0 - g.w / t.total, 2e0) / (g.n - 1e0)) AS lam FROM g JOIN t ON g.log_id = t.log_id GROUP BY g.log_id)
-SELECT log_id, num / (1e0 + 2e0 * (k - 2e0) / (k * k - 1e0) * lam) AS statistic, k - 1 AS df_between, (k * k - 1e0) / (3e0 * lam) AS df_within, k AS n_groups FROM s"""
+s AS (SELECT g.log_id, max(t.k) AS k, sum(g.w * power(g.mean - t.centre, 2e0)) / nullif(max(t.k) - 1e0, 0e0) AS num, sum(power(1e0 - g.w / t.total, 2e0) / (g.n - 1e0)) AS lam FROM g JOIN t ON g.log_id = t.log_id GROUP BY g.log_id)
+SELECT log_id, num / (1e0 + 2e0 * (k - 2e0) / nullif(k * k - 1e0, 0e0) * lam) AS statistic, k - 1 AS df_between, (k * k - 1e0) / nullif(3e0 * lam, 0e0) AS df_within, k AS n_groups FROM s"""
 
 TRANSITIONS = """
 SELECT log_id, src, dst, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY log_id, src) AS p

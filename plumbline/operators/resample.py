@@ -19,15 +19,18 @@ from .metrics import autocovariances, dispersion_is_negligible
 
 #: One hash a cell: 32 bits choose where a block begins, 32 bits whether one begins.
 DRAWS = """
-SELECT path_id, step, CAST(floor(u1 * <n_obs>) AS BIGINT) AS anchor, step = 0 OR u2 < <restart> AS fresh
-FROM (SELECT path_id, step, <u1> AS u1, <u2> AS u2
-      FROM (SELECT path_id, step, <hash> AS h
-            FROM (SELECT path_id, explode(sequence(CAST(0 AS BIGINT), CAST(<n_steps> - 1 AS BIGINT))) AS step FROM {path_ids}) s) k) u"""
+SELECT path_id, step, n_obs, CAST(floor(u1 * n_obs) AS BIGINT) AS anchor, step = 0 OR u2 < <restart> AS fresh
+FROM (SELECT path_id, step, n_obs, <u1> AS u1, <u2> AS u2
+      FROM (SELECT path_id, step, n_obs, <hash> AS h
+            FROM (SELECT path_id, n_obs, explode(sequence(CAST(0 AS BIGINT), n_steps - 1)) AS step FROM {path_ids}) s) k) u"""
 
-PATH_IDS = "SELECT explode(sequence(CAST(0 AS BIGINT), CAST(<n_paths> - 1 AS BIGINT))) AS path_id"
+#: Paths by number, each with how many observations it draws from and how many steps it takes.
+PATH_IDS = """
+SELECT path_id, CAST(n AS BIGINT) AS n_obs, CAST(n AS BIGINT) AS n_steps
+FROM (SELECT explode(sequence(CAST(0 AS BIGINT), CAST(<n_paths> - 1 AS BIGINT))) AS path_id) p JOIN (SELECT count(DISTINCT period_idx) AS n FROM {returns}) c ON c.n > 0"""
 
 INDICES = """
-SELECT path_id, step, (last_value(CASE WHEN fresh THEN anchor END, true) OVER w + step - last_value(CASE WHEN fresh THEN step END, true) OVER w) % <n_obs> AS src_idx
+SELECT path_id, step, (last_value(CASE WHEN fresh THEN anchor END, true) OVER w + step - last_value(CASE WHEN fresh THEN step END, true) OVER w) % n_obs AS src_idx
 FROM {draws} WINDOW w AS (PARTITION BY path_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 INDICES_DUCK = INDICES.replace("END, true)", "END IGNORE NULLS)")
@@ -103,13 +106,16 @@ def estimate_block_length(returns: DataFrame) -> BlockLength:
     return block_length_from([r.gamma for r in sorted(rows, key=lambda r: r.lag)], n)
 
 
+def path_ids(spark, n_paths: int, n_obs: int, n_steps: int) -> DataFrame:
+    return spark.range(n_paths).select(F.col("id").alias("path_id"), F.lit(n_obs).cast("long").alias("n_obs"), F.lit(n_steps).cast("long").alias("n_steps"))
+
+
 def bootstrap_indices(spark, n_obs: int, n_paths: int, n_steps: int, block_length: float, seed: int, stream: str = "path", rng: str = "md5") -> DataFrame:
     """(path_id, step, src_idx): circular blocks of mean length ``block_length``; a length of 1 draws each step anew."""
     if block_length < 1 or n_obs < 1 or n_paths < 1 or n_steps < 1:
         raise InsufficientSampleError("the bootstrap needs observations, paths, steps and blocks of one or more", (n_obs, n_paths, n_steps, block_length), 1)
-    values = {"n_obs": n_obs, "n_steps": n_steps, "n_paths": n_paths, "restart": f"{1 / block_length!r}e0" if "e" not in repr(1 / block_length) else repr(1 / block_length), "seed": seed, "stream": stream} | (MD5 if rng == "md5" else XXHASH)
-    ids = spark.range(n_paths).withColumnRenamed("id", "path_id")
-    draws = spark.sql(fill(DRAWS, values), path_ids=ids)
+    values = {"restart": f"{1 / block_length!r}e0" if "e" not in repr(1 / block_length) else repr(1 / block_length), "seed": seed, "stream": stream} | (MD5 if rng == "md5" else XXHASH)
+    draws = spark.sql(fill(DRAWS, values), path_ids=path_ids(spark, n_paths, n_obs, n_steps))
     return spark.sql(fill(INDICES, values), draws=draws)
 
 
@@ -121,7 +127,7 @@ def resample_equity_paths(returns: DataFrame, n_paths: int, seed: int, capital:
     indices = bootstrap_indices(spark, n, n_paths, n_steps or n, b, seed, rng=rng)
     start = f"CAST({capital!r} AS DOUBLE)"
     if basis == C.FIXED_INITIAL:
-        return spark.sql(LEVELS.replace("<capital>", start), indices=indices, returns=returns.select("period_idx", "ret"), path_ids=spark.range(n_paths).withColumnRenamed("id", "path_id"))
+        return spark.sql(LEVELS.replace("<capital>", start), indices=indices, returns=returns.select("period_idx", "ret"), path_ids=path_ids(spark, n_paths, n, n_steps or n))
     drawn = indices.join(returns.select(F.col("period_idx").alias("src_idx"), "ret"), "src_idx").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("step", "ret"))).alias("r"))
     grown = F.aggregate("r", F.array(F.lit(float(capital))), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) * (1 + x.ret))))
     return drawn.select("path_id", F.posexplode(grown).alias("step", "level")).withColumn("step", F.col("step").cast("long"))

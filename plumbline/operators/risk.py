@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..errors import InsufficientSampleError, SchemaError, TradeIntegrityError
+from ..errors import InsufficientSampleError, SchemaError, TradeIntegrityError, UnitMismatchError
 from ..functions.special import normal_cdf
 from .grid import _sql
 
@@ -73,29 +73,29 @@ def tail_risk(paths: DataFrame, level: float = C.DEFAULT_TAIL_LEVEL) -> DataFram
     return _sql(paths, TAIL.replace("<tail>", f"CAST({1 - level!r} AS DOUBLE)"), terminals=terminal_returns(paths))
 
 
+#: Up to so many values (16 bytes each) they are broadcast to the draws; beyond it they are joined.
+BROADCAST_VALUES = 1_000_000
+
+
 def bootstrap_interval(values: DataFrame, column: str, measure: str, tail: float, seed: int, replicates: int = 1000, confidence: float = 0.95, stream: str = "interval") -> dict:
     """Standard error and percentile interval from resampled copies of ``values``; every measure draws the same indices.
 
-    ``measure`` is var, es or mean. Values are numbered once; copies are drawn and grouped on the executors.
+    ``measure`` is var, es or mean. Values, one a simulated path, are numbered in ascending order on the executors;
+    copies are drawn and grouped there too.
     """
-    spark = values.sparkSession
-    packed = values.agg(F.sort_array(F.collect_list(column)).alias("v"), F.count(column).alias("n")).first()  # one number a simulated path
-    n = packed.n
-    held = spark.createDataFrame([(list(packed.v),)], "v array<double>")
     from ..functions.random import uniform
 
+    spark = values.sparkSession
+    n = values.agg(F.count(column)).first()[0]
+    numbered = values.agg(F.sort_array(F.collect_list(F.col(column).cast("double"))).alias("v")).select(F.posexplode("v").alias("i", "x"))
     draws = spark.range(replicates).withColumnRenamed("id", "rep").select("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    index = F.floor(uniform(seed, stream, "rep", "k") * n).cast("int")
-    drawn = draws.withColumn("i", index).join(F.broadcast(held.select(F.posexplode("v").alias("i", "x"))), "i")  # n values: one a path, a bounded parameter
+    drawn = draws.withColumn("i", F.floor(uniform(seed, stream, "rep", "k") * n).cast("int")).join(F.broadcast(numbered) if n <= BROADCAST_VALUES else numbered, "i")
     if measure == "mean":
         per = drawn.groupBy("rep").agg(F.avg("x").alias("m"))
     else:
         cuts = drawn.groupBy("rep").agg(F.expr(f"percentile(x, {tail})").alias("cut"), F.sort_array(F.collect_list("x")).alias("xs"))
-        if measure == "es":
-            low = F.filter("xs", lambda x: x <= F.col("cut"))
-            per = cuts.select("rep", (-F.aggregate(low, F.lit(0.0), lambda s, x: s + x) / F.size(low)).alias("m"))
-        else:
-            per = cuts.select("rep", (-F.col("cut")).alias("m"))
+        low = F.filter("xs", lambda x: x <= F.col("cut"))
+        per = cuts.select("rep", (-F.aggregate(low, F.lit(0.0), lambda s, x: s + x) / F.size(low) if measure == "es" else -F.col("cut")).alias("m"))
     side = (1 - confidence) / 2
     got = per.agg(F.stddev_samp("m").alias("se"), F.expr(f"percentile(m, array({side}, {1 - side}))").alias("ci")).first()
     return {"standard_error": got.se, "ci_low": got.ci[0], "ci_high": got.ci[1], "confidence_level": confidence, "n_paths": n, "seed": seed}
@@ -122,17 +122,29 @@ def drawdown_distribution(paths: DataFrame, seed: int, observed: float | None =
     return {"mean": {"value": row.mean} | bootstrap_interval(d, "max_drawdown", "mean", 0, seed, **options), "quantiles": dict(zip(quantiles, row.q, strict=True)), "observed": observed, "observed_quantile": row.at if observed is not None else None, "n_paths": row.n}
 
 
-def first_passage(paths: DataFrame, barrier: float, quantiles: tuple[float, ...] = QUANTILES) -> dict:
-    """Chance to touch the barrier, and quantiles of when among the paths that do (empty if none does)."""
+def first_steps(paths: DataFrame, barrier: float) -> DataFrame:
+    """(path_id, first_step): the first step at or below the barrier, -1 for a path that never gets there."""
+    return _sql(paths, PASSAGE.replace("<barrier>", f"CAST({barrier!r} AS DOUBLE)"), paths=paths)
+
+
+def first_passage(paths: DataFrame, barrier: float, seed: int, quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), unit: str = "PERIOD", **options) -> dict:
+    """Chance to touch the barrier within the horizon, with its bootstrap interval, and quantiles of when.
+
+    The quantiles are over the paths that touch it (none: empty). Paths by trade have no horizon in time and are
+    refused. The level is seen once a period, so a fall and return within one doesn't count. ``first_steps``
+    has the step of each path.
+    """
+    if unit != "PERIOD":
+        raise UnitMismatchError(f"ruin over a horizon needs paths by period, these are by {unit}")
     start = paths.where("step = 0").agg(F.min("level")).first()[0]
     if start is not None and barrier >= start:
-        raise SchemaError(f"the barrier {barrier} doesn't lie below the start {start}")
-    p = _sql(paths, PASSAGE.replace("<barrier>", f"CAST({barrier!r} AS DOUBLE)"), paths=paths)
+        raise InsufficientSampleError("the barrier doesn't lie below the start, so every path is ruined before its first step", barrier, start)
+    p = first_steps(paths, barrier)
     hit = F.when(F.col("first_step") >= 0, F.col("first_step"))
     row = p.agg(F.count("*").alias("n"), F.count(hit).alias("h"), F.expr(f"percentile(CASE WHEN first_step >= 0 THEN first_step END, array({', '.join(map(str, quantiles))}))").alias("q")).first()
     _enough(row.n)
-    share = row.h / row.n
-    return {"probability": share, "standard_error": math.sqrt(share * (1 - share) / row.n), "barrier": barrier, "never_hit_fraction": 1 - share, "n_paths": row.n, "quantiles": dict(zip(quantiles, row.q, strict=True)) if row.h else {}, "horizon_steps": paths.agg(F.max("step")).first()[0]}
+    interval = bootstrap_interval(p.select((F.col("first_step") >= 0).cast("double").alias("hit")), "hit", "mean", 0, seed, **options)
+    return {"probability": row.h / row.n, "barrier": barrier, "never_hit_fraction": 1 - row.h / row.n, "quantiles": dict(zip(quantiles, row.q, strict=True)) if row.h else {}, "horizon_steps": paths.agg(F.max("step")).first()[0]} | interval
 
 
 def absorb_at_barrier(paths: DataFrame, barrier: float) -> DataFrame:

@@ -38,6 +38,12 @@ def bar_chart(bars: dict[str, float], title: str) -> str:
     return _frame(title, "".join(parts))
 
 
+def histogram_chart(counts: list[int], title: str) -> str:
+    step, most = (WIDTH - 2 * PAD) / max(1, len(counts)), max(1, *counts)
+    bar = lambda k, n: f'<rect x="{round(PAD + k * step, 2)}" y="{_scale(n, 0, most, HEIGHT - PAD, PAD)}" width="{round(step, 2)}" height="{_scale(n, 0, most, 0, HEIGHT - 2 * PAD)}" fill="#246"><title>{n}</title></rect>'
+    return _frame(title, "".join(bar(k, n) for k, n in enumerate(counts)))
+
+
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> list[int]:
     """Counts of equal bins from the least to the largest value; the last bin holds its upper end."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()

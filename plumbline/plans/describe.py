@@ -19,10 +19,7 @@ def describe_series(series: DataFrame, risk_free_rate: float = 0.0) -> dict:
         raise InsufficientSampleError("a series needs three observations", n, 3)
     rate = {"DAILY": (n - 1) / ((hi - lo) / 365.25), "WEEKLY": C.WEEKS_PER_YEAR, "MONTHLY": C.MONTHS_PER_YEAR}[rung["period"]]
     returns = to_period_returns(series)
-    row = metrics.period_metrics(returns, rate, risk_free_rate).first().asDict()
+    row = metrics.period_metrics(returns, rate, risk_free_rate, C.CURRENT_EQUITY).first().asDict()
     curve = metrics.equity_curve(returns, C.CURRENT_EQUITY, 1.0)
     down = metrics.drawdown_profile(curve, 1.0).first().asDict()
-    # a series compounds, so its total and its growth come from the curve
-    last = curve.agg(F.max_by("equity", "period_idx")).first()[0]
-    row |= {"cumulative_return": last - 1, "cagr": last ** (rate / row["n_periods"]) - 1 if last > 0 else None}
-    return {"series_id": rung["series_id"], "period": rung["period"], "periods_per_year": rate, "n_observations": n, "gap_excess": rung["excess"]} | {k: v for k, v in (row | down).items() if k != "log_id"}
+    return {"series_id": rung["series_id"], "period": rung["period"], "periods_per_year": rate, "n_observations": n, "gap_excess": rung["excess"], "warnings": metrics.period_warnings(row)} | {k: v for k, v in (row | down).items() if k != "log_id"}

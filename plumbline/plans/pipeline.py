@@ -16,6 +16,7 @@ from ..operators import grid, metrics, overfit, propfirm, regimes, resample, ris
 from ..sources import series as sources_series
 from ..sources.symbology import load_symbology
 from ..sources.tradelog import load_mapping, read_trade_log
+from . import charts
 from .report import FAILED, NOT_REQUESTED, RAN, SECTIONS, SUPPRESSED, Evidence, Report, section
 
 
@@ -82,10 +83,20 @@ def run_validation(spark: SparkSession, log_path: str, config_path: str, execute
 def validate(trades: DataFrame, config: RunConfig, provenance: dict | None = None, trials=None, reference=None, rules: propfirm.DeskRules | None = None, warnings: list[str] | None = None) -> Report:
     """From canonical trades of one log. ``trials`` and ``reference`` are callables that give their frames.
 
-    What several sections read is cached: trades, periods and paths; everything is released at the end.
+    What several sections read is cached: trades, periods, paths and the matrix; everything is released at the
+    end, also when something is refused or fails.
     """
+    held: list[DataFrame] = []
+    try:
+        return _validated(held, trades, config, provenance, trials, reference, rules, warnings)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _validated(held: list[DataFrame], trades: DataFrame, config: RunConfig, provenance: dict | None, trials, reference, rules: propfirm.DeskRules | None, warnings: list[str] | None) -> Report:
     trades = trades.cache()
-    held = [trades]
+    held.append(trades)
     sessions = grid.weekday_sessions(trades)
     choice = grid.select_grid(trades, sessions, config.forced_period)
     returns = grid.period_returns(trades, choice.period, config.basis, config.initial_capital, sessions).cache()
@@ -96,11 +107,11 @@ def validate(trades: DataFrame, config: RunConfig, provenance: dict | None = Non
     panel["trade_metrics"] = section("trade_metrics", lambda: {k: _number(v) if isinstance(v, float) else v for k, v in metrics.trade_metrics(by_trade).first().asDict().items() if k != "log_id"})
 
     def calendar() -> dict:
-        row = metrics.period_metrics(returns, q, config.risk_free_rate).first().asDict()
+        row = metrics.period_metrics(returns, q, config.risk_free_rate, config.basis).first().asDict()
         curve = metrics.equity_curve(returns, config.basis, config.initial_capital)
         down = metrics.drawdown_profile(curve, config.initial_capital).first().asDict()
         sharpe = metrics.sharpe_ratio(returns, q, config.risk_free_rate, config.confidence_level)
-        return {k: v for k, v in row.items() if k != "log_id"} | {"sharpe": sharpe, "drawdown": {k: v for k, v in down.items() if k != "log_id"}}
+        return {k: v for k, v in row.items() if k != "log_id"} | {"sharpe": sharpe, "drawdown": {k: v for k, v in down.items() if k != "log_id"}}, metrics.period_warnings(row)
 
     panel["calendar_metrics"] = section("calendar_metrics", calendar)
     panel["grid_selection"] = Evidence("grid_selection", RAN, {"chosen": choice.period, "forced": choice.forced, "candidates": [{k: v for k, v in c.items() if k != "log_id"} for c in choice.candidates]}, warnings=tuple(choice.warnings))
@@ -123,7 +134,7 @@ def validate(trades: DataFrame, config: RunConfig, provenance: dict | None = Non
         seen = panel["calendar_metrics"].payload["drawdown"]["max_drawdown"] if panel["calendar_metrics"].status == RAN else None
         note = (f"blocks of mean length {block.block_length:.2f} understate the deepest falls of dependent series",) if block.block_length > C.BLOCK_LENGTH_WARNING_THRESHOLD else ()
         panel["drawdown_distribution"] = section("drawdown_distribution", lambda: (risk.drawdown_distribution(paths, seed, seen), note))
-        panel["risk_of_ruin"] = section("risk_of_ruin", lambda: risk.first_passage(paths, config.ruin_barrier)) if config.ruin_barrier is not None else Evidence("risk_of_ruin", NOT_REQUESTED, reason="no barrier is declared")
+        panel["risk_of_ruin"] = section("risk_of_ruin", lambda: risk.first_passage(paths, config.ruin_barrier, seed)) if config.ruin_barrier is not None else Evidence("risk_of_ruin", NOT_REQUESTED, reason="no barrier is declared")
         if rules is None:
             panel["propfirm"] = Evidence("propfirm", NOT_REQUESTED, reason="no desk rules are declared")
         elif choice.period != "DAILY":
@@ -133,7 +144,7 @@ def validate(trades: DataFrame, config: RunConfig, provenance: dict | None = Non
 
     excess = returns.select((F.col("ret") - F.lit(rf)).alias("ret"))
     panel["track_record"] = section("track_record", lambda: overfit.minimum_track_record_length(excess, q))
-    _search(panel, config, returns, excess, rf, trials)
+    _search(panel, config, returns, excess, rf, trials, held)
 
     def attribute() -> dict:
         ref = sources_series.align(returns, reference()).select(F.lit("reference").alias("log_id"), "period_end_ns", "ret")
@@ -153,12 +164,23 @@ def validate(trades: DataFrame, config: RunConfig, provenance: dict | None = Non
         outcomes = risk.terminal_returns(paths).select((F.col("terminal") - F.lit(rf * n)).alias("outcome"))
         panel["verdict"] = section("verdict", lambda: verdict.rank([verdict.Candidate("strategy", outcomes, frozenset(k for k, e in panel.items() if e.status == RAN))], requirements=config.verdict_requirements)["ranked"][0])
     info = {"period": choice.period, "periods_per_year": q, "n_periods": returns.count(), "initial_capital": config.initial_capital, "basis": config.basis}
-    for df in held:
-        df.unpersist()
-    return Report(info, asdict(config), provenance or {}, [panel[s] for s in SECTIONS], list(warnings or []) + list(choice.warnings))
+    charts = _charts(returns, config, paths, panel)
+    return Report(info, asdict(config), provenance or {}, [panel[s] for s in SECTIONS], list(warnings or []) + list(choice.warnings), charts)
+
+
+def _charts(returns: DataFrame, config: RunConfig, paths: DataFrame | None, panel: dict[str, Evidence]) -> dict[str, str]:
+    """The log's equity, where the simulated paths end and how deep they fall; a section that didn't run has no chart."""
+    curve = [r.equity for r in metrics.equity_curve(returns, config.basis, config.initial_capital).orderBy("period_idx").collect()]  # one log's periods
+    out = {"calendar_metrics": charts.line_chart([config.initial_capital, *curve], "Equity")}
+    for name, title, measured, column in (("risk_tail", "Terminal returns", risk.terminal_returns, "terminal"), ("drawdown_distribution", "Maximum drawdowns", risk.max_drawdowns, "max_drawdown")):
+        if paths is not None and panel[name].status == RAN:
+            out[name] = charts.histogram_chart(charts.histogram(measured(paths), column), title)
+    if panel["regimes"].status == RAN:
+        out["regimes"] = charts.bar_chart({str(r["joint"]): r["total"] for r in panel["regimes"].payload["states"]}, "Return by state")
+    return out
 
 
-def _search(panel: dict[str, Evidence], config: RunConfig, returns: DataFrame, excess: DataFrame, rf: float, trials) -> None:
+def _search(panel: dict[str, Evidence], config: RunConfig, returns: DataFrame, excess: DataFrame, rf: float, trials, held: list[DataFrame]) -> None:
     """The three corrections for search, from the matrix of all configurations."""
     names = ("deflated_sharpe", "pbo", "spa")
     if trials is None:
@@ -170,6 +192,7 @@ def _search(panel: dict[str, Evidence], config: RunConfig, returns: DataFrame, e
         ids = {c: k for k, c in enumerate(sorted(r[0] for r in matrix.select("config_id").distinct().collect()))}  # a name a configuration
         number = F.create_map(*[x for c, k in ids.items() for x in (F.lit(c), F.lit(k))])
         matrix = matrix.select("config_id", F.element_at(number, F.col("config_id")).cast("long").alias("config_idx"), F.col("period_idx").cast("long").alias("period_idx"), "ret").cache()
+        held.append(matrix)
     except EngineError as e:
         for s in names:
             panel[s] = Evidence(s, FAILED, reason=str(e))
@@ -180,4 +203,3 @@ def _search(panel: dict[str, Evidence], config: RunConfig, returns: DataFrame, e
     panel["deflated_sharpe"] = section("deflated_sharpe", lambda: (overfit.deflated_sharpe_ratio(excess, n_trials, spread[0]) | {"best_trial": spread[1], "median_trial": spread[2]}, notes))
     panel["pbo"] = section("pbo", lambda: overfit.probability_of_backtest_overfitting(matrix))
     panel["spa"] = section("spa", lambda: overfit.superior_predictive_ability(matrix, config.seed))
-    matrix.unpersist()

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as C
 from ..functions.dialect import Relation, even_rounds
 from ..functions.special import normal_cdf_sql
-from ..operators import grid, metrics, overfit, probe, regimes, resample, risk, verdict
-from ..operators.propfirm import DeskRules, FundedRules, path_outcomes
-from ..operators.regimes import markov_resample
+from ..operators import grid, metrics, overfit, regimes, resample, risk, verdict
+from ..operators.propfirm import DeskRules, FundedRules
 from ..sources.testdata import CAPITAL, TRADES
 from ..operators.validate import COUNTS
+from . import independent
 
 R = Relation
 CAP = f"CAST({CAPITAL!r} AS DOUBLE)"
 RF = 0.045 / C.WEEKS_PER_YEAR
-CAPV, RFV, PPY = (("capital", CAP),), (("rf", f"CAST({RF!r} AS DOUBLE)"),), (("ppy", f"CAST({C.WEEKS_PER_YEAR!r} AS DOUBLE)"),)
+CAPV, FIXED, RFV, PPY = (("capital", CAP),), (("growth", metrics.GROWTH[C.FIXED_INITIAL]),), (("rf", f"CAST({RF!r} AS DOUBLE)"),), (("ppy", f"CAST({C.WEEKS_PER_YEAR!r} AS DOUBLE)"),)
 
 # ---- relations ------------------------------------------------------------------------------------------------------
 
@@ -46,23 +46,27 @@ MONTHLY_TRUNC = """
 SELECT log_id, trade_id, entry_ns, exit_ns, pnl, epoch_us(date_trunc('month', make_timestamp(exit_ns // 1000)) + INTERVAL 1 MONTH) * 1000 - 1 AS period_end_ns FROM {trades}"""
 MONTHLY_SERIES = """
 SELECT log_id, epoch_us(unnest(generate_series(make_timestamp((lo + 1) // 1000), make_timestamp((hi + 1) // 1000), INTERVAL 1 MONTH))) * 1000 - 1 AS period_end_ns
-FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {keyed} GROUP BY log_id) k"""
+FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {totals} GROUP BY log_id) k"""
 WEEKLY_SERIES = """
-SELECT log_id, unnest(generate_series(lo, hi, 604800000000000)) AS period_end_ns FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {keyed} GROUP BY log_id) k"""
+SELECT log_id, unnest(generate_series(lo, hi, 604800000000000)) AS period_end_ns FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {totals} GROUP BY log_id) k"""
+
+DAILY_RANGE = """
+SELECT k.log_id, s.close_ns AS period_end_ns FROM {sessions} s
+JOIN (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {totals} GROUP BY log_id) k ON s.close_ns BETWEEN k.lo AND k.hi"""
 
 
 def sums_of(t: Relation, period: str) -> Relation:
     if period == "DAILY":
         s = sessions_of(t)
-        keyed = R("keyed", grid.DAILY_KEY, (t, s), other=DAILY_ASOF)
-        g = R("grid", grid.DAILY_GRID, (keyed, s))
+        totals = R("totals", grid.TOTALS, (R("keyed", grid.DAILY_KEY, (t, s), other=DAILY_ASOF),), stage=True)
+        g = R("grid", grid.DAILY_GRID, (totals, s), other=DAILY_RANGE)
     elif period == "WEEKLY":
-        keyed = R("keyed", grid.WEEKLY_KEY, (t,), other=WEEKLY_TRUNC)
-        g = R("grid", grid.WEEKLY_GRID, (keyed,), other=WEEKLY_SERIES)
+        totals = R("totals", grid.TOTALS, (R("keyed", grid.WEEKLY_KEY, (t,), other=WEEKLY_TRUNC),), stage=True)
+        g = R("grid", grid.WEEKLY_GRID, (totals,), other=WEEKLY_SERIES)
     else:
-        keyed = R("keyed", grid.MONTHLY_KEY, (t,), other=MONTHLY_TRUNC)
-        g = R("grid", grid.MONTHLY_GRID, (keyed,), other=MONTHLY_SERIES)
-    return R("sums", grid.PERIOD_SUMS, (g, keyed))
+        totals = R("totals", grid.TOTALS, (R("keyed", grid.MONTHLY_KEY, (t,), other=MONTHLY_TRUNC),), stage=True)
+        g = R("grid", grid.MONTHLY_GRID, (totals,), other=MONTHLY_SERIES)
+    return R("sums", grid.PERIOD_SUMS, (g, totals))
 
 
 def returns_of(t: Relation, period: str, basis: str = C.FIXED_INITIAL) -> Relation:
@@ -78,47 +82,56 @@ weekly, daily, monthly = (returns_of(trades, p) for p in ("WEEKLY", "DAILY", "MO
 trade_ret = R("returns", grid.TRADE_RETURNS[C.FIXED_INITIAL], (running,), CAPV)
 centred = R("centred", metrics.CENTRED, (weekly,), RFV)
 #: The oracle's lag table: a window shift for each lag instead of a join.
-gammas = R("gammas", metrics.AUTOCOVARIANCE, (centred,), (("max_lag", 40),))
+gammas = R("gammas", metrics.AUTOCOVARIANCE, (centred,), (("max_lag", 40),), other=independent.AUTOCOVARIANCE, stage=True)
 bands = R("bandwidths", metrics.BANDWIDTH, (gammas,))
 curve = R("curve", metrics.EQUITY, (weekly,), CAPV)
 
 PATHS = 200
-BOOT = {"n_paths": PATHS, "n_steps": "<periods>", "seed": 7, "stream": "path", "restart": "CAST(0.25 AS DOUBLE)"}
-N_OBS = "(SELECT count(*) FROM returns)"
-ids = R("path_ids", resample.PATH_IDS, values=(("n_paths", PATHS),))
-#: Simulated paths take a fixed number of the log's first periods, so both engines draw from the same range.
-OBS = 300
-first_obs = R("returns", "SELECT * FROM {weekly} WHERE period_idx < <n>", (R("weekly", "SELECT * FROM {returns}", (weekly,)),), (("n", OBS),))
-_draw = {"n_obs": OBS, "n_steps": OBS, "seed": 7, "stream": "path", "restart": "CAST(0.25 AS DOUBLE)"}
-draws = R("draws", resample.fill(resample.DRAWS, _draw | resample.MD5), (ids,), other=resample.fill(resample.DRAWS, _draw | resample.MD5_DUCK).replace("explode(sequence(", "unnest(generate_series(").replace("STRING", "VARCHAR"))
-indices = R("indices", resample.INDICES, (draws,), (("n_obs", OBS),), other=resample.INDICES_DUCK)
-levels = R("paths", resample.LEVELS, (indices, first_obs, ids), CAPV)
+#: Draws cover the log's own number of periods, whatever it is.
+DRAW = {"seed": 7, "restart": "CAST(0.25 AS DOUBLE)"}
+
+
+def paths_of(returns: Relation, stream: str) -> tuple[Relation, Relation]:
+    """(path ids, indices of drawn periods) over the periods of a relation of returns."""
+    ids = R("path_ids", resample.PATH_IDS, (returns,), (("n_paths", PATHS),))
+    duck = resample.fill(resample.DRAWS, DRAW | {"stream": stream} | resample.MD5_DUCK).replace("explode(sequence(", "unnest(generate_series(").replace("STRING", "VARCHAR")
+    draws = R("draws", resample.fill(resample.DRAWS, DRAW | {"stream": stream} | resample.MD5), (ids,), other=duck)
+    return ids, R("indices", resample.INDICES, (draws,), other=resample.INDICES_DUCK)
+
+
+weekly_rows = R("returns", "SELECT * FROM {weekly}", (R("weekly", "SELECT * FROM {returns}", (weekly,)),), stage=True)
+ids, indices = paths_of(weekly_rows, "path")
+levels = R("paths", resample.LEVELS, (indices, weekly_rows, ids), CAPV, stage=True)
 terminals = R("terminals", risk.TERMINAL, (levels,))
 drawdowns = R("drawdowns", risk.DRAWDOWNS, (levels,))
 passages = R("passages", risk.PASSAGE, (levels,), (("barrier", "CAST(9500000.0 AS DOUBLE)"),))
 steps = R("steps", risk.STEP_RETURNS[C.FIXED_INITIAL], (levels,))
 
-trial_returns = returns_of(by_symbol, "WEEKLY")
+trial_returns = R("returns", "SELECT * FROM {by_symbol}", (R("by_symbol", "SELECT * FROM {returns}", (returns_of(by_symbol, "WEEKLY"),)),), stage=True)
+#: Configurations and periods are numbered apart, a row each, and joined back.
 TRIALS = """
+WITH ends AS (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {returns} GROUP BY log_id),
+kept AS (SELECT r.log_id, r.period_end_ns, r.ret FROM {returns} r JOIN (SELECT max(lo) AS lo, min(hi) AS hi FROM ends) c ON r.period_end_ns >= c.lo AND r.period_end_ns <= c.hi),
+configs AS (SELECT log_id, row_number() OVER (ORDER BY log_id) - 1 AS config_idx FROM ends),
+periods AS (SELECT period_end_ns, row_number() OVER (ORDER BY period_end_ns) - 1 AS period_idx FROM (SELECT DISTINCT period_end_ns FROM kept) d)
+SELECT k.log_id AS config_id, k.period_end_ns, k.ret, c.config_idx, p.period_idx FROM kept k JOIN configs c ON k.log_id = c.log_id JOIN periods p ON k.period_end_ns = p.period_end_ns"""
+TRIALS_RANKED = """
 SELECT r.log_id AS config_id, r.period_end_ns, r.ret, dense_rank() OVER (ORDER BY r.log_id) - 1 AS config_idx, dense_rank() OVER (ORDER BY r.period_end_ns) - 1 AS period_idx
 FROM {returns} r JOIN (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT log_id, min(period_end_ns) AS lo, max(period_end_ns) AS hi FROM {returns} GROUP BY log_id) w) c ON r.period_end_ns BETWEEN c.lo AND c.hi"""
-trials = R("trials", TRIALS, (trial_returns,))
-CSCV = tuple(overfit.cscv_values(320, 8).items())
+trials = R("trials", TRIALS, (trial_returns,), other=TRIALS_RANKED, stage=True)
+CSCV = tuple(overfit.cscv_values("(SELECT CAST(count(DISTINCT period_idx) AS BIGINT) div 16 FROM {trials})", 16).items())
 blocks = R("blocks", overfit.BLOCKS, (trials,), CSCV)
-masks = R("masks", overfit.MASKS, (), CSCV)
-sides = R("sides", overfit.SIDES, (masks, blocks), CSCV, other=overfit.SIDES_DUCK)
-logits = R("logits", overfit.LOGITS, (sides,))
-_spa = {"n_obs": 320, "n_steps": 320, "seed": 7, "stream": "spa", "restart": "CAST(0.25 AS DOUBLE)"}
-some_trials = R("trials", "SELECT * FROM {all_trials} WHERE period_idx < 320", (R("all_trials", "SELECT * FROM {trials}", (trials,)),))
-spa_draws = R("draws", resample.fill(resample.DRAWS, _spa | resample.MD5), (ids,), other=resample.fill(resample.DRAWS, _spa | resample.MD5_DUCK).replace("explode(sequence(", "unnest(generate_series(").replace("STRING", "VARCHAR"))
-spa_indices = R("indices", resample.INDICES, (spa_draws,), (("n_obs", 320),), other=resample.INDICES_DUCK)
-replicates = R("replicates", overfit.REPLICATES, (spa_indices, some_trials), (("n_obs", 320),))
-spa = R("spa", overfit.SPA, (some_trials, replicates), (("n_obs", 320),))
+sides = R("sides", overfit.SIDES, (blocks,), CSCV, other=independent.SIDES)
+logits = R("logits", overfit.LOGITS, (sides,), other=independent.LOGITS, stage=True)
+SPA_N = (("n_obs", "(SELECT count(DISTINCT period_idx) FROM {trials})"),)
+_, spa_indices = paths_of(R("returns", "SELECT * FROM {trials}", (trials,)), "spa")
+replicates = R("replicates", overfit.REPLICATES, (spa_indices, trials), SPA_N, other=independent.REPLICATES, stage=True)
+spa = R("spa", overfit.SPA, (trials, replicates), SPA_N)
 
 REG = tuple(regimes.regime_values().items())
 trailing = R("trailing", regimes.TRAILING, (daily,), REG)
 weekly_trailing = R("trailing", regimes.TRAILING, (weekly,), REG)
-labels = R("labels", regimes.LABELS, (weekly_trailing,), REG, other=regimes.LABELS_DUCK)
+labels = R("labels", regimes.LABELS, (weekly_trailing,), REG, other=independent.LABELS, stage=True)
 attribution = R("attribution", regimes.ATTRIBUTION, (labels,))
 moments = R("moments", overfit.MOMENTS, (centred,))
 prefs = verdict.Preferences()
@@ -144,15 +157,12 @@ FLAGSHIP = "weekly_performance"
 query(
     "weekly_performance",
     "SELECT m.log_id, m.n_periods, " + ", ".join(_r(c) for c in ("active_fraction", "cagr", "volatility_annualised", "sharpe_annualised", "sortino", "max_drawdown", "time_underwater")) + ", max_drawdown_duration, recovered FROM {pm} m JOIN {dd} d ON m.log_id = d.log_id",
-    R("pm", metrics.PERIOD_METRICS, (weekly,), RFV + PPY),
-    R("dd", metrics.DRAWDOWN, (curve,), CAPV),
+    R("pm", metrics.PERIOD_METRICS, (weekly,), FIXED + RFV + PPY, other=independent.PERIOD_METRICS),
+    R("dd", metrics.DRAWDOWN, (curve,), CAPV, other=independent.DRAWDOWN),
 )
 query("trade_log_canonical", "SELECT log_id, trade_id, symbol, side, qty, multiplier, entry_ns, exit_ns, entry_px, round(exit_px, 6) AS exit_px, round(fees, 6) AS fees, round(pnl, 4) AS pnl FROM {trades}", trades)
 query("gross_pnl", "SELECT symbol, count(*) AS n, round(sum(gross_pnl), 2) AS gross, round(sum(fees), 4) AS fees FROM {trades} GROUP BY symbol", trades)
 query("validation_counts", COUNTS, trades)
-query("symbol_resolve_join", "SELECT t.symbol, coalesce(s.p_type, 'none') AS kind, count(*) AS n FROM {trades} t LEFT JOIN (SELECT p_brand, min(p_type) AS p_type FROM {part} GROUP BY p_brand) s ON t.symbol = s.p_brand GROUP BY t.symbol, coalesce(s.p_type, 'none')", trades)
-query("anti_missing_symbols", "SELECT p_brand, count(*) AS n FROM {part} p LEFT ANTI JOIN (SELECT symbol FROM {trades} WHERE qty > 49) t ON p.p_brand = t.symbol AND p.p_size > 40 GROUP BY p_brand", trades)
-query("single_currency", "SELECT count(DISTINCT n_nationkey % 3) AS currencies, count(*) AS n FROM {nation}")
 query("running_equity", "SELECT log_id, trade_id, trade_idx, round(equity, 2) AS equity FROM {running}", running)
 query("trade_returns_fixed", "SELECT log_id, trade_idx, round(ret, 9) AS ret FROM {returns}", trade_ret)
 query("trade_returns_current_equity", "SELECT log_id, trade_idx, round(ret, 9) AS ret FROM {returns}", R("returns", grid.TRADE_RETURNS[C.CURRENT_EQUITY], (running,), CAPV))
@@ -166,16 +176,22 @@ query("grid_diagnosis", " UNION ALL ".join(f"SELECT log_id, period, n_periods, r
 query("select_grid", "SELECT log_id, min_by(period, place) AS chosen FROM (" + " UNION ALL ".join(f"SELECT log_id, period, {k} AS place FROM {{{r.name}}} WHERE feasible" for k, r in enumerate(_rungs)) + ") f GROUP BY log_id", *_rungs)
 query("observed_grid_gaps", "SELECT series_id, modal_gap, period, n_obs, round(excess, 9) AS excess FROM {gaps}", R("gaps", grid.GAPS, (event_days,)))
 query("trade_metrics", "SELECT log_id, n_trades, n_wins, n_losses, " + ", ".join(_r(c) for c in ("expectancy", "hit_rate", "profit_factor", "win_loss_ratio", "mean_win", "mean_loss", "largest_win", "largest_loss", "skewness", "kurtosis")) + " FROM {tm}", R("tm", metrics.TRADE_METRICS, (trade_ret,)))
-query("period_metrics", "SELECT log_id, n_periods, " + ", ".join(_r(c) for c in ("active_fraction", "years", "cumulative_return", "cagr", "volatility_annualised", "sharpe_per_period", "sharpe_annualised", "sortino")) + ", round(kelly, 6) AS kelly FROM {pm}", R("pm", metrics.PERIOD_METRICS, (monthly,), (("rf", f"CAST({0.045 / 12!r} AS DOUBLE)"), ("ppy", "12e0"))))
+PM = "SELECT log_id, n_periods, " + ", ".join(_r(c) for c in ("active_fraction", "years", "cumulative_return", "cagr", "volatility_annualised", "sharpe_per_period", "sharpe_annualised", "sortino")) + ", round(kelly, 6) AS kelly FROM {pm}"
+MONTH = FIXED + (("rf", f"CAST({0.045 / 12!r} AS DOUBLE)"), ("ppy", "12e0"))
+query("period_metrics", PM, R("pm", metrics.PERIOD_METRICS, (monthly,), MONTH, other=independent.PERIOD_METRICS))
+query("period_metrics_compounded", PM, R("pm", metrics.PERIOD_METRICS, (returns_of(trades, "WEEKLY", C.CURRENT_EQUITY),), (("growth", metrics.GROWTH[C.CURRENT_EQUITY]),) + RFV + PPY, other=independent.PERIOD_METRICS.replace("<growth>", "product(1e0 + ret)")))
+#: Returns without dispersion, a total loss and losses that never come: a log each, as long as there are regions.
+flat = R("returns", "SELECT 'flat' AS log_id, CAST(r_regionkey AS BIGINT) AS period_idx, 0.01e0 AS ret, 1 AS n_trades FROM {region} UNION ALL SELECT 'lost' AS log_id, CAST(r_regionkey AS BIGINT) AS period_idx, CASE WHEN r_regionkey = 2 THEN -1e0 ELSE 0.5e0 END AS ret, 1 AS n_trades FROM {region} UNION ALL SELECT 'idle' AS log_id, CAST(r_regionkey AS BIGINT) AS period_idx, 0e0 AS ret, 0 AS n_trades FROM {region}")
+query("period_metrics_degenerate", PM, R("pm", metrics.PERIOD_METRICS, (flat,), (("growth", metrics.GROWTH[C.CURRENT_EQUITY]), ("rf", "0e0"), ("ppy", "12e0")), other=independent.PERIOD_METRICS.replace("<growth>", "product(1e0 + ret)")))
 query("equity_curve", "SELECT log_id, period_idx, round(equity, 2) AS equity FROM {curve}", curve)
-query("drawdown_profile", "SELECT log_id, round(max_drawdown, 9) AS max_drawdown, max_drawdown_duration, recovered, round(time_underwater, 9) AS time_underwater FROM {dd}", R("dd", metrics.DRAWDOWN, (curve,), CAPV))
+query("drawdown_profile", "SELECT log_id, round(max_drawdown, 9) AS max_drawdown, max_drawdown_duration, recovered, round(time_underwater, 9) AS time_underwater FROM {dd}", R("dd", metrics.DRAWDOWN, (curve,), CAPV, other=independent.DRAWDOWN))
 query("autocovariances", "SELECT log_id, lag, round(gamma * 1e6, 9) AS gamma_e6 FROM {gammas}", gammas)
 query("newey_west_bandwidth", "SELECT log_id, n, lags, bandwidth FROM {bandwidths}", bands)
 query("hac_variance", "SELECT log_id, bandwidth, round(long_run_variance * 1e6, 9) AS long_run_variance_e6 FROM {lrv}", R("lrv", metrics.LONG_RUN_VARIANCE, (gammas, bands)))
 query("bootstrap_indices", "SELECT path_id, step, src_idx FROM {indices}", indices)
 query("bootstrap_terminal", "SELECT path_id, round(terminal, 9) AS terminal FROM {terminals}", terminals)
 query("bootstrap_max_drawdown", "SELECT path_id, round(max_drawdown, 9) AS max_drawdown FROM {drawdowns}", drawdowns)
-query("var_es", "SELECT round(value_at_risk, 9) AS value_at_risk, round(expected_shortfall, 9) AS expected_shortfall, n_paths FROM {tail}", R("tail", risk.TAIL, (terminals,), (("tail", "0.05e0"),)))
+query("var_es", "SELECT round(value_at_risk, 9) AS value_at_risk, round(expected_shortfall, 9) AS expected_shortfall, n_paths FROM {tail}", R("tail", risk.TAIL, (terminals,), (("tail", "0.05e0"),), other=independent.TAIL))
 query("drawdown_quantiles", "SELECT " + ", ".join(f"round(percentile(max_drawdown, {q}e0), 9) AS q{round(q * 100):02d}" for q in risk.QUANTILES) + ", round(avg(max_drawdown), 9) AS mean FROM {drawdowns}", drawdowns)
 query("ruin_first_passage", "SELECT round(probability, 9) AS probability, n_paths, round(never_hit_fraction, 9) AS never_hit_fraction, median_step FROM {summary}", R("summary", risk.PASSAGE_SUMMARY, (passages,)))
 query("absorb_at_barrier", "SELECT path_id, step, round(level, 2) AS level FROM {absorbed}", R("absorbed", risk.ABSORBED, (levels,), (("barrier", "CAST(9500000.0 AS DOUBLE)"),)))
@@ -198,9 +214,6 @@ query("welch_anova_stat", "SELECT log_id, round(statistic, 6) AS statistic, df_b
 query("transition_matrix", "SELECT log_id, src, dst, n, round(p, 9) AS p FROM {transitions}", R("transitions", regimes.TRANSITIONS, (labels,)))
 query("cpt_weights", "SELECT candidate, round(x, 9) AS x, round(weight, 8) AS weight, round(value, 8) AS value FROM {weighted}", weighted)
 query("certainty_equivalent", "SELECT candidate, round(cpt_value, 8) AS cpt_value, round(certainty_equivalent, 8) AS certainty_equivalent FROM {values_of}", values)
-query("rank_candidates", "SELECT candidate, row_number() OVER (ORDER BY certainty_equivalent DESC, candidate) AS place FROM {values_of}", values)
-query("probe_multiplier", probe.REPORT, R("probed", probe.PROBE, (trades,)))
-query("pnl_quantum", probe.QUANTUM, trades)
 query("events_daily_tumbling", "SELECT series_id, day, round(level, 4) AS level FROM {series}", event_days)
 query("events_level_returns", "SELECT series_id, day, round(ret, 9) AS ret FROM (SELECT series_id, day, level / lag(level) OVER (PARTITION BY series_id ORDER BY day) - 1e0 AS ret FROM {series}) x WHERE ret IS NOT NULL", event_days)
 
@@ -213,14 +226,25 @@ def _runner(rel: Relation) -> Callable[[SparkSession, str], DataFrame]:
 DESK = DeskRules("desk", 1e7, 3e5, 2e5, FundedRules(0.8, 14, 2e5, 1e3, True), True, 1.5e5, 5, 200, 500.0, True)
 
 
-def propfirm_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_outcomes(levels.frame(spark, sf_dir), DESK)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _runner(rel) for name, rel in _FOUND.items()}
+ORACLE_SQL: dict[str, str] = {name: rel.duck() for name, rel in _FOUND.items()}
 
 
-def markov_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markov_resample(labels.frame(spark, sf_dir), 50, 7, 100, allow_collapse=True)
+def shown(*columns: str, **places: int) -> list[str]:
+    return [*columns, *(even_rounds(f"round({c}, {n})") + f" AS {c}" for c, n in places.items())]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _runner(rel) for name, rel in _FOUND.items()}
-ORACLE_SQL: dict[str, str] = {name: rel.duck() for name, rel in _FOUND.items()}
-QUERIES |= {"propfirm_outcomes": propfirm_outcomes, "markov_paths": markov_paths}
+def oracle(sql: str, *columns: str, **places: int) -> str:
+    return f"SELECT {', '.join(shown(*columns, **places))} FROM ({sql}) shown"
+
+
+def query_of(name: str, sql: str | None, *columns: str, **places: int):
+    """Register a function as a query; both sides show the same columns, rounded alike."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir).selectExpr(*shown(*columns, **places))
+        if sql is not None:
+            ORACLE_SQL[name] = oracle(sql, *columns, **places)
+        return f
+
+    return add

@@ -48,6 +48,8 @@ class Report:
     provenance: dict
     panel: list[Evidence]
     warnings: list[str] = field(default_factory=list)
+    #: SVG by section; part of the page alone.
+    charts: dict[str, str] = field(default_factory=dict)
 
     def entry(self, name: str) -> Evidence:
         return next(e for e in self.panel if e.name == name)
@@ -61,14 +63,14 @@ class Report:
         return [e.name for e in self.panel if e.status != RAN]
 
     def to_json(self) -> str:
-        return json.dumps(plain(asdict(self)), sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False) + "\n"
+        return json.dumps(plain({k: v for k, v in asdict(self).items() if k != "charts"}), sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False) + "\n"
 
     def write_json(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.to_json())
 
     def to_html(self) -> str:
-        """One self-contained page: a table for each section."""
+        """One self-contained page: a table for each section, and its chart if it has one."""
         from html import escape
 
         show = lambda v: f"{v:.6g}" if isinstance(v, float) else escape(str(v))
@@ -76,7 +78,7 @@ class Report:
         for e in self.panel:
             rows = "".join(f"<tr><td>{escape(str(k))}</td><td>{show(v)}</td></tr>" for k, v in (e.payload or {"reason": e.reason}).items())
             notes = "".join(f"<p>{escape(w)}</p>" for w in e.warnings)
-            parts.append(f"<h2>{escape(e.name)}: {e.status}</h2><table>{rows}</table>{notes}")
+            parts.append(f"<h2>{escape(e.name)}: {e.status}</h2><table>{rows}</table>{self.charts.get(e.name, '')}{notes}")
         return "".join(parts) + "</body>\n"
 
     def to_latex(self) -> str:

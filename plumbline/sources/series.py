@@ -138,6 +138,62 @@ class FileCache:
         return [r[0] for r in told.join(files, "digest", "left").where("found IS NULL OR found <> sha256").select("digest").distinct().orderBy("digest").collect()]
 
 
+def reference_csv(returns: DataFrame) -> DataFrame:
+    """(period_end, ret) as text, the form that ``read_wide_reference`` reads: ISO 8601 in UTC and the shortest exact number."""
+    utc = F.to_utc_timestamp(F.timestamp_micros(F.expr("period_end_ns div 1000")), F.current_timezone())  # shown by the session's clock
+    stamp = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return returns.orderBy("period_end_ns").select(stamp.alias("period_end"), F.col("ret").cast("string").alias("ret"))
+
+
+def write_reference_csv(returns: DataFrame, path: str) -> None:
+    """One file of one series, some thousand rows."""
+    lines = ["period_end,ret", *(f"{r.period_end},{r.ret}" for r in reference_csv(returns).collect())]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def load_series(spark: SparkSession, cache: FileCache, key: CacheKey, fetch: Callable[[CacheKey], bytes], recorded_at: str, delimiter: str = ",") -> tuple[DataFrame, int]:
+    """A level series through the cache: fetched at most once, noted in the manifest each time, read from the kept file."""
+    cache.get(key, fetch, recorded_at)
+    return read_series(spark, cache.path_of(key), key.symbol, delimiter)
+
+
+def http_fetcher(url: str, key_variable: str | None = None, timeout: float = 30.0) -> Callable[[CacheKey], bytes]:
+    """Fetches ``url`` with {symbol}, {start}, {end} and {key} filled in; the key comes from the environment and is never kept.
+
+    A table of JSON rows under "observations" (date, value) becomes the two columns that a level series has;
+    anything else is kept as it came.
+    """
+
+    def fetch(key: CacheKey) -> bytes:
+        import urllib.error
+        import urllib.parse
+        import urllib.request
+
+        secret = os.environ.get(key_variable, "") if key_variable else ""
+        if key_variable and not secret:
+            raise SchemaError(f"the environment has no {key_variable}")
+        filled = url.format(**{k: urllib.parse.quote(v, safe="") for k, v in {"symbol": key.symbol, "start": key.start, "end": key.end, "key": secret}.items()})
+        try:
+            with urllib.request.urlopen(filled, timeout=timeout) as got:
+                payload = got.read()
+        except (urllib.error.URLError, TimeoutError) as e:
+            raise SchemaError(f"{key.source} can't be reached for {key.symbol}: {getattr(e, 'reason', e)}") from None
+        return observations_csv(payload)
+
+    return fetch
+
+
+def observations_csv(payload: bytes) -> bytes:
+    try:
+        told = json.loads(payload)
+    except ValueError:
+        return payload
+    if not isinstance(told, dict) or "observations" not in told:
+        raise SchemaError("the answer holds no observations")
+    return "\n".join(["date,value", *(f"{o['date']},{o['value']}" for o in told["observations"])]).encode() + b"\n"
+
+
 def file_fetcher(path: str) -> Callable[[CacheKey], bytes]:
     def fetch(_: CacheKey) -> bytes:
         with open(path, "rb") as f:

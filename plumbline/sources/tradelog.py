@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import SchemaError
 from ..operators.validate import validate_trades
 from .symbology import SymbologyMap
-from .timeformats import SPARK_PATTERNS, parse_column
+from .timeformats import SPARK_PATTERNS, inferred_format, parse_column
 
 POSITIVE, NEGATED = "POSITIVE", "NEGATED"
 COLUMN, DERIVE = "COLUMN", "DERIVE"
@@ -132,13 +132,14 @@ def bind(rows: DataFrame, m: ColumnMapping, symbols: SymbologyMap, log_id: str =
         raise SchemaError(f"columns not in the file: {', '.join(missing)}")
     col = lambda f: F.col(f"`{cols[f]}`")
     number = lambda f: F.trim(col(f)).try_cast("double")
+    pattern = m.timestamp_format or inferred_format(rows, [cols["entry_time"], cols["exit_time"]])
     spec = symbols.as_map(m.source)
     found = F.try_element_at(spec, F.trim(col("symbol"))) if spec is not None else F.lit(None)
     fees = -number("fees") if m.fee_convention == NEGATED else number("fees")
     warnings: list[str] = []
     out = rows.select(
         F.lit(log_id).alias("log_id"), F.trim(col("trade_id")).alias("trade_id"), F.trim(col("symbol")).alias("_raw_symbol"), found.canonical.alias("symbol"), F.trim(col("side")).alias("_raw_side"), parse_side(col("side")).alias("side"),
-        number("qty").alias("qty"), found.multiplier.alias("multiplier"), parse_column(col("entry_time"), m.timestamp_format, m.timezone).alias("entry_ns"), parse_column(col("exit_time"), m.timestamp_format, m.timezone).alias("exit_ns"),
+        number("qty").alias("qty"), found.multiplier.alias("multiplier"), parse_column(col("entry_time"), pattern, m.timezone).alias("entry_ns"), parse_column(col("exit_time"), pattern, m.timezone).alias("exit_ns"),
         number("entry_price").alias("entry_px"), number("exit_price").alias("exit_px"), (F.lit(0.0) + fees).alias("fees"), *([number("pnl").alias("_pnl")] if "pnl" in cols else [F.lit(0.0).alias("_pnl")]),
         (F.create_map(*[x for t in m.tag_columns for x in (F.lit(t), F.col(f"`{t}`"))]) if m.tag_columns else F.create_map().cast("map<string,string>")).alias("tags"),
     )
@@ -177,6 +178,44 @@ def read_trade_log(spark: SparkSession, path: str, mapping: ColumnMapping, symbo
     return ImportResult(trades, currency, sorted({symbology.symbols[s].calendar for s in used}), rows.count(), warnings)
 
 
+def probe_rows(rows: DataFrame, m: ColumnMapping) -> DataFrame:
+    """(row_no, symbol, side, qty, entry_px, exit_px, fees, pnl) of a log whose contracts aren't known yet.
+
+    Nothing is validated and times aren't read, so a log can be probed while its mapping is still in the making.
+    """
+    cols = dict(m.columns)
+    if m.row_layout == PAIRED:
+        rows = pair_legs(rows, m)
+        cols |= {"entry_price": "_entry_price", "exit_price": "_exit_price", "side": "_side"}
+    needed = ("symbol", "side", "qty", "entry_price", "exit_price", "fees", "pnl")
+    if absent := [f for f in needed if f not in cols]:
+        raise SchemaError(f"a multiplier can't be read without {', '.join(absent)}")
+    if missing := [cols[f] for f in needed if cols[f] not in rows.columns]:
+        raise SchemaError(f"columns not in the file: {', '.join(missing)}")
+    col = lambda f: F.trim(F.col(f"`{cols[f]}`"))
+    number = lambda f: col(f).try_cast("double")
+    fees = -number("fees") if m.fee_convention == NEGATED else number("fees")
+    out = rows.select(
+        F.monotonically_increasing_id().alias("row_no"), col("symbol").alias("symbol"), col("side").alias("_word"), parse_side(col("side")).alias("side"), number("qty").alias("qty"),
+        number("entry_price").alias("entry_px"), number("exit_price").alias("exit_px"), (F.lit(0.0) + fees).alias("fees"), number("pnl").alias("pnl"),
+    )
+    if unknown := [r[0] for r in out.where("side IS NULL").select("_word").distinct().orderBy("_word").limit(10).collect()]:
+        raise SchemaError(f"unknown sides: {', '.join(map(str, unknown))}")
+    return out.drop("_word")
+
+
+def probe_trade_log(spark: SparkSession, path: str, m: ColumnMapping) -> list[dict]:
+    """``probe_symbols`` of a file, without an import."""
+    from ..operators.probe import probe_symbols
+
+    return probe_symbols(probe_rows(read_strings(spark, path, m.delimiter), m))
+
+
+def preview(spark: SparkSession, path: str, rows: int = 5, delimiter: str = ",") -> list[dict]:
+    """The first rows of a file as they stand."""
+    return [r.asDict() for r in read_strings(spark, path, delimiter).limit(rows).collect()]
+
+
 def read_declarations(spark: SparkSession, path: str, m: ColumnMapping) -> dict:
     """What a file shows of its own: the sign of its fees, its first stamps, and whether the declared format reads them."""
     rows = read_strings(spark, path, m.delimiter)
@@ -185,6 +224,8 @@ def read_declarations(spark: SparkSession, path: str, m: ColumnMapping) -> dict:
     sign = "ZERO" if not low and not high else "POSITIVE" if low >= 0 else "NEGATIVE" if high <= 0 else "MIXED"
     stamps = [m.timestamp_column] * 2 if m.row_layout == PAIRED else [m.columns["entry_time"], m.columns["exit_time"]]
     first = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys(stamps)]).first()
+    if first is None:
+        raise SchemaError("the file has no rows")
     values = [first[c] for c in stamps]
     reads = spark.createDataFrame([(v,) for v in values], "v string").select(parse_column(F.col("v"), m.timestamp_format, m.timezone).alias("t")).where("t IS NULL").count() == 0
     return {"fee_sign": sign, "first_entry": values[0], "first_exit": values[1], "format_reads_them": reads, "known_patterns": len(SPARK_PATTERNS)}
@@ -192,10 +233,3 @@ def read_declarations(spark: SparkSession, path: str, m: ColumnMapping) -> dict:
 
 def zone_of(m: ColumnMapping) -> ZoneInfo | None:
     return ZoneInfo(m.timezone) if m.timezone else None
-
-
-def unit_symbols(names: list[str]) -> SymbologyMap:
-    """Symbols with a multiplier of one, to look at a log before its contracts are known."""
-    from .symbology import SymbolSpec
-
-    return SymbologyMap({n.strip(): SymbolSpec("?", 1.0, 1.0, "XXX", "?") for n in names if n})

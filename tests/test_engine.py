@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import constants as C
-from plumbline.errors import CalendarCoverageError, GridSparsityError, InsufficientSampleError, LookaheadError, OverfitInputError, RegimeSparsityError, SchemaError, TradeIntegrityError
+from plumbline.errors import CalendarCoverageError, GridSparsityError, InsufficientSampleError, LookaheadError, OverfitInputError, RegimeSparsityError, SchemaError, TradeIntegrityError, UnitMismatchError
 from plumbline.functions import random as keyed
 from plumbline.functions import special
 from plumbline.operators import grid, metrics, overfit, probe, propfirm, regimes, resample, risk, validate, verdict
@@ -177,13 +177,17 @@ def test_paths_risk_and_ruin(spark):
     assert es["value"] >= var["value"] and var["ci_low"] <= var["ci_high"]
     d = risk.drawdown_distribution(paths, 1, observed=1.0, replicates=50)
     assert d["observed_quantile"] == 1.0 and 0 < d["mean"]["value"] < 1
-    ruin = risk.first_passage(paths, 95.0)
+    ruin = risk.first_passage(paths, 95.0, 1, replicates=50)
+    assert 0 <= ruin["ci_low"] <= ruin["probability"] <= ruin["ci_high"] <= 1 and ruin["seed"] == 1
+    assert risk.first_steps(paths, 95.0).where("first_step >= 0").count() == round(ruin["probability"] * 60)
     absorbed = risk.absorb_at_barrier(paths, 95.0)
     last = absorbed.where("step = 120 AND level = 95").count()
     assert last == round(ruin["probability"] * 60)
     assert risk.kelly_from_paths(paths)["point"] is not None
-    with pytest.raises(SchemaError):
-        risk.first_passage(paths, 100.0)
+    with pytest.raises(InsufficientSampleError):
+        risk.first_passage(paths, 100.0, 1)
+    with pytest.raises(UnitMismatchError):
+        risk.first_passage(paths, 95.0, 1, unit="TRADE")
     with pytest.raises(InsufficientSampleError):
         risk.value_at_risk(paths.where("path_id < 5"), 1)
 
@@ -327,3 +331,53 @@ def test_probe_reads_a_multiplier(spark):
     assert math.isclose(got["implied"], 50.0) and got["convention"] == "NET"
     assert probe.quantum_of(t, "pnl") == 5.0 or probe.quantum_of(t, "pnl") in (1.0, 0.1)
     assert probe.quantum_of(t.limit(0), "pnl") == 0.0
+
+
+def test_probe_follows_the_log(spark):
+    """One quantum for all profits, the median fee decides, only moved trades are typical, symbols in their order."""
+    r, rows = random.Random(5), []
+    for k in range(40):
+        move = r.choice([-1, 1]) * r.randrange(4, 40) * 0.25
+        rows.append((k, "Z", 1, 1.0, 100.0, 100.0 + move, 0.0, move * 20))  # no cost
+        rows.append((k + 100, "A", 1, 1.0, 100.0, 100.0 + move, 900.0 if k == 0 else 1.0, move * 50))  # one large fee among small ones
+        rows.append((k + 200, "A", 1, 1.0, 100.0, 100.0, 1.0, 0.0))  # flat trades are no typical profit
+    t = spark.createDataFrame([(*x[:7], round(x[7], -1)) for x in rows], "row_no long, symbol string, side int, qty double, entry_px double, exit_px double, fees double, pnl double")
+    z, a = probe.probe_symbols(t)
+    assert (z["symbol"], z["detectability"], z["convention"]) == ("Z", "NO_COST", None) and a["symbol"] == "A"
+    assert z["pnl_quantum"] == a["pnl_quantum"] == 10.0 and a["detectability"] == "UNDETECTABLE" and a["n_usable"] == 40
+    assert a["typical_pnl"] > 0 and abs(a["implied"] / 50 - 1) < 0.1
+    coarse = t.withColumn("pnl", F.round(F.col("pnl") / 1000) * 1000)
+    assert all(math.isnan(x["implied"]) for x in probe.probe_symbols(coarse))
+
+
+def test_growth_compounds_on_current_equity(spark):
+    r = returns_of(spark, [0.1, 0.5, 0.1, 0.5])
+    got = metrics.period_metrics(r, 4.0, basis=C.CURRENT_EQUITY).first()
+    assert math.isclose(got.cumulative_return, 1.1 * 1.5 * 1.1 * 1.5 - 1) and math.isclose(got.cagr, got.cumulative_return)
+    assert math.isclose(metrics.period_metrics(r, 4.0).first().cumulative_return, 1.2)
+    flat = metrics.period_metrics(returns_of(spark, [0.01] * 12), 12.0, 0.02, C.CURRENT_EQUITY).first().asDict()
+    assert flat["sharpe_annualised"] is None and flat["kelly"] is None and math.isclose(flat["cumulative_return"], 1.01**12 - 1)
+    assert any("dispersion" in w for w in metrics.period_warnings(flat))
+    lost = metrics.period_metrics(returns_of(spark, [0.5, -1.0, 0.2]), 12.0, basis=C.CURRENT_EQUITY).first().asDict()
+    assert lost["cumulative_return"] == -1 and lost["cagr"] is None and any("used up" in w for w in metrics.period_warnings(lost))
+
+
+def test_spa_against_a_benchmark(spark):
+    rows = [(k, f"c{k}", t, x) for k in range(3) for t, x in enumerate(noise(120, 30 + k, 0.002 * k))]
+    trials = spark.createDataFrame(rows, "config_idx long, config_id string, period_idx long, ret double")
+    rival = trials.where("config_idx = 2").select("period_idx", "ret")
+    free, against = (overfit.superior_predictive_ability(trials, 3, 200, 2.0, benchmark=b) for b in (None, rival))
+    assert against["p_value_consistent"] > free["p_value_consistent"] and against["statistic"] < free["statistic"]
+    by_hand = overfit.superior_predictive_ability(trials.join(rival.withColumnRenamed("ret", "x"), "period_idx").withColumn("ret", F.col("ret") - F.col("x")).drop("x"), 3, 200, 2.0)
+    assert math.isclose(by_hand["statistic"], against["statistic"])
+    with pytest.raises(OverfitInputError):
+        overfit.superior_predictive_ability(trials, 3, 50, 2.0, benchmark=rival.where("period_idx < 100"))
+
+
+def test_nothing_to_divide_by(spark):
+    labels = spark.createDataFrame([("a", k, 0.0, k % 2) for k in range(8)], "log_id string, period_idx long, ret double, joint long")
+    table = regimes.attribute_by_regime(labels)
+    assert [r.share for r in table.collect()] == [0.0, 0.0]
+    one = regimes.attribute_by_regime(labels.withColumn("joint", F.lit(0)).withColumn("ret", F.col("period_idx").cast("double")))
+    with pytest.raises(InsufficientSampleError):
+        regimes.welch_anova(one)

@@ -1,19 +1,20 @@
 import pytest
 
-from plumbline.plans import registry
+from plumbline.plans.queries import ORACLE_SQL as SQL
+from plumbline.plans.queries import QUERIES
 
 from .conftest import SF
 from .oracle import assert_same
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_the_oracle(spark, name):
-    assert_same(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name], SF)
+    assert_same(QUERIES[name](spark, SF), SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_other_queries_give_rows(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_has_the_flagship(spark):

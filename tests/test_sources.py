@@ -11,7 +11,7 @@ from plumbline.plans.report import SECTIONS, Evidence
 from plumbline.sources import series, suggest, tradelog
 from plumbline.sources.calendars import VenueCalendar
 from plumbline.sources.symbology import load_symbology
-from plumbline.sources.timeformats import matching_formats, parse_column
+from plumbline.sources.timeformats import inferred_format, matching_formats, parse_column
 
 SYMBOLS = "symbols:\n  ES: {venue: CME, multiplier: 50, tick_size: 0.25, currency: usd, calendar: c, source_ids: {desk: ESZ4}}\n"
 MAPPING = """source: desk
@@ -91,7 +91,7 @@ def test_whole_report(spark, files):
     assert tuple(e.name for e in report.panel) == SECTIONS
     assert {"trade_metrics", "calendar_metrics", "grid_selection", "resampling", "risk_tail", "drawdown_distribution", "risk_of_ruin", "track_record"} <= set(report.sections_run)
     assert report.entry("pbo").status == "NOT_REQUESTED" and report.entry("verdict").status == "SUPPRESSED"
-    assert json.loads(report.to_json())["grid"]["period"] == "DAILY" and "<table>" in report.to_html() and "tabular" in report.to_latex()
+    assert json.loads(report.to_json())["grid"]["period"] == "DAILY" and "<table>" in report.to_html() and report.to_html().count("<svg") == 3 and "tabular" in report.to_latex()
     with pytest.raises(SchemaError):
         Evidence("x", "RAN")
     assert load_config(str(files / "c.yaml")).seed == 7
@@ -108,6 +108,69 @@ def test_formats_are_tried_on_every_row(spark):
     both = matching_formats(df, "s")
     assert both["ambiguous"] and both["only"] is None
     assert matching_formats(df.union(spark.createDataFrame([("25/03/2024",)], "s string")), "s")["only"] == "%d/%m/%Y"
+    same = spark.createDataFrame([("05/05/2024",)], "s string")
+    found = matching_formats(same, "s")
+    assert len(found["parsing"]) == 2 and not found["ambiguous"] and found["only"] is None  # two agree, so none is the only one
+
+
+def test_stamps_without_leading_zeros(spark):
+    df = spark.createDataFrame([("3/25/2024 9:30",), ("12/1/2024 10:05",)], "s string")
+    assert matching_formats(df, "s")["only"] == "%m/%d/%Y %H:%M"
+    assert [r[0] for r in df.select(parse_column(F.col("s"), "%m/%d/%Y %H:%M", "UTC")).collect()] == [1711359000 * 10**9, 1733047500 * 10**9]
+    assert inferred_format(df, ["s"]) == "%m/%d/%Y %H:%M"
+    assert inferred_format(spark.createDataFrame([("2024-03-25 09:30:00",), ("2024-03-25T09:30:00+02:00",)], "s string"), ["s"]) is None
+    with pytest.raises(SchemaError, match="declare the time format"):
+        inferred_format(spark.createDataFrame([("5/6/2024",)], "s string"), ["s"])
+
+
+def test_a_clock_time_that_comes_twice_is_refused(spark):
+    df = spark.createDataFrame([("2024-11-03 00:30:00",), ("2024-11-03 01:30:00",), ("2024-11-03 02:30:00",)], "s string")
+    got = [r[0] for r in df.select(parse_column(F.col("s"), "%Y-%m-%d %H:%M:%S", "America/New_York")).collect()]
+    assert got == [1730608200 * 10**9, None, 1730619000 * 10**9]
+
+
+def test_probe_needs_no_times_and_no_contracts(spark, files):
+    write_log(files / "log.csv", 50, lambda r: r.replace("10:00:00", "late"))
+    m = tradelog.load_mapping(str(files / "m.yaml"))
+    (got,) = tradelog.probe_trade_log(spark, str(files / "log.csv"), m)
+    assert got["symbol"] == "ESZ4" and abs(got["implied"] - 50) < 1e-6
+    lines = suggest.evidence_lines(tradelog.read_declarations(spark, str(files / "log.csv"), m), [got], m)
+    assert any("NET" in x for x in lines) and any("as declared" in x for x in lines)
+    assert len(tradelog.preview(spark, str(files / "log.csv"), 3)) == 3
+    write_log(files / "log.csv", 20, lambda r: r.replace("Long", "Up"))
+    with pytest.raises(SchemaError, match="unknown sides: Up"):
+        tradelog.probe_trade_log(spark, str(files / "log.csv"), m)
+    with pytest.raises(SchemaError):
+        tradelog.probe_rows(tradelog.read_strings(spark, str(files / "log.csv")).drop("fee"), m)
+
+
+def test_header_contests_stay_open():
+    two = suggest.suggest_columns(["id", "symbol", "open price", "open price 2"])
+    assert two.columns == {"trade_id": "id", "symbol": "symbol", "entry_price": "open price"}
+    open_ = suggest.suggest_columns(["entry", "exit"])  # one name that several fields begin like
+    assert set(open_.ambiguous) >= {"entry_price"} or "entry_time" in open_.columns
+
+
+def test_reference_file_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1_700_000_000_123_456_000, 0.1), (1_700_086_400_000_000_000, -1e-9)], "period_end_ns long, ret double")
+    series.write_reference_csv(rows, str(tmp_path / "r.csv"))
+    got = series.read_wide_reference(spark, str(tmp_path / "r.csv"))
+    assert sorted(map(tuple, got.select("period_end_ns", "ret").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_fetch_goes_through_the_cache(spark, tmp_path, capsys):
+    from plumbline.cli import main
+
+    (tmp_path / "s.csv").write_text("date,value\n" + "".join(f"{date.fromordinal(738000 + k)},{100 + (k * 7) % 13}\n" for k in range(80)))
+    args = ["fetch", "x", "--cache", str(tmp_path / "c"), "--from-file", str(tmp_path / "s.csv"), "--as-returns", "--out", str(tmp_path / "r.csv")]
+    assert main(args) == 0 and json.loads(capsys.readouterr().out)["was_cached"] is False
+    assert main(args) == 0 and json.loads(capsys.readouterr().out)["was_cached"] is True
+    assert (tmp_path / "r.csv").read_text().startswith("period_end,ret\n")
+    assert main(["describe", "x", "--cache", str(tmp_path / "c"), "--from-file", str(tmp_path / "s.csv")]) == 0 and json.loads(capsys.readouterr().out)["n_observations"] == 80
+    assert main(["fetch", "x", "--cache", str(tmp_path / "c"), "--source", "http"]) == 1
+    with pytest.raises(SchemaError, match="no NOWHERE_KEY"):
+        series.http_fetcher("http://localhost/{symbol}?{key}", "NOWHERE_KEY")(series.CacheKey("h", "d", "x", "a", "b"))
+    assert series.observations_csv(b'{"observations": [{"date": "2024-01-01", "value": "."}]}') == b"date,value\n2024-01-01,.\n" and series.observations_csv(b"a,b\n") == b"a,b\n"
 
 
 def test_calendar(spark):
@@ -167,7 +230,7 @@ def test_command_line(spark, files, capsys):
     from plumbline.cli import main
 
     assert main(["inspect", str(files / "log.csv")]) == 0 and "trade_id: 'id'" in capsys.readouterr().out
-    assert main(["probe", str(files / "log.csv"), "--mapping", str(files / "m.yaml")]) == 0 and "multiplier: 50" in capsys.readouterr().out
+    assert main(["probe", str(files / "log.csv"), "--mapping", str(files / "m.yaml")]) == 0 and "the log implies 50" in capsys.readouterr().out
     (files / "s.csv").write_text("date,value\n" + "".join(f"{date.fromordinal(738000 + k)},{100 + (k * 7) % 13}\n" for k in range(80)))
     assert main(["describe", "x", "--file", str(files / "s.csv")]) == 0 and json.loads(capsys.readouterr().out)["period"] == "DAILY"
     (files / "m.yaml").write_text(MAPPING.replace("fee_convention: POSITIVE", "fee_convention: NEGATED"))
