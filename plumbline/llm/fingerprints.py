@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, long_array, partitions
+from .common import discard, documents, long_array, partitions, staged
 from .splitters import sampled_ranges
 
 WORDS, LANES, MODULUS = 8, 64, 1 << 16
@@ -82,31 +82,36 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has its last floor(n_chars / edited_part) code points replaced by as many from the start
     of the next document in descending id order (all of them where it is shorter; after the last the first).
 
-    One shuffle of the texts: rows go to ranges of ids from sampled splitters, and the first rows of a range
-    are also sent to the range above it, so that each row finds the next one in its own range. The sums of
-    the vectors run on that partitioning. Null text counts as empty (fingerprint all zero); null ids come
-    last; rows with equal ids are ordered by a hash of their text. Other columns are ignored.
+    One shuffle of the texts: rows go to ranges of (id, hash of the text) from sampled splitters that weigh bytes,
+    and the first rows of a range are also sent to the range above it, so that each row finds the next one in
+    its own range. The sums of the vectors run on that partitioning. Null text counts as empty (fingerprint all
+    zero); null ids come last; rows with equal ids are ordered by a hash of their text, so a crowd of null or
+    repeated ids is cut like any other. Texts of any length are taken whole. Other columns are ignored.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_i"), F.lit(1).cast("long").alias("_w"))
-    found = sampled_ranges(ids, ("_i",), "_w", ranges or max(64, 4 * partitions(spark)))
-    in_range = found.of(F.struct("_i"))
-    tops = {r[0]: r[1] for r in ids.groupBy(in_range.alias("_r")).agg(F.max("_i")).collect()}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_i"), F.xxhash64(text).alias("_j")]
+    keys = staged(docs.select(*key, (F.octet_length(text) + 64).cast("long").alias("_w")), "fingerprint-keys")
+    found = sampled_ranges(keys, ("_i", "_j"), "_w", ranges or max(64, 4 * partitions(spark)))
+    in_range = found.of(F.struct("_i", "_j"))
+    tops = {r[0]: (r[1]._i, r[1]._j) for r in keys.groupBy(in_range.alias("_r")).agg(F.max(F.struct("_i", "_j"))).collect()}  # a row a range
+    discard(keys)
     full = sorted(tops)
     count = len(found.boundaries) + 1
     above = {a: b for a, b in zip(full, full[1:], strict=False)}
-    top = long_array([tops.get(r, 0) for r in range(count)])
+    top_i, top_j = (long_array([tops.get(r, (0, 0))[k] for r in range(count)]) for k in (0, 1))
     target = long_array([above.get(r, -1) for r in range(count)])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("_t"))
     rows = rows.withColumn("_own", in_range.cast("long"))
     nowhere = F.lit(-1).cast("long")
+    is_top = (F.col("_i") == F.get(top_i, F.col("_own"))) & (F.col("_j") == F.get(top_j, F.col("_own")))
     dealt = F.array(
         F.col("_own"),
-        F.when(F.col("_i") == F.get(top, F.col("_own")), F.get(target, F.col("_own"))).otherwise(nowhere),
-        F.when(F.col("_i") == F.lit(tops[full[-1]] if full else 0), F.lit(full[0] if full else 0).cast("long")).otherwise(nowhere),
+        F.when(is_top, F.get(target, F.col("_own"))).otherwise(nowhere),
+        F.when(is_top & (F.col("_own") == (full[-1] if full else 0)), F.lit(full[0] if full else 0).cast("long")).otherwise(nowhere),
     )
-    rows = rows.select("doc_id", "_i", "_t", F.posexplode(dealt).alias("_ghost", "_r")).where("_r >= 0")
-    order = Window.partitionBy("_r").orderBy(F.col("_ghost") > 0, F.col("_i").desc(), F.xxhash64("_t"), "_ghost")
+    rows = rows.select("doc_id", "_i", "_j", "_t", F.posexplode(dealt).alias("_ghost", "_r")).where("_r >= 0")
+    order = Window.partitionBy("_r").orderBy(F.col("_ghost") > 0, F.col("_i").desc(), F.col("_j").desc(), "_ghost")
     rows = rows.select("*", F.lead("_t").over(order).alias("_next"), F.row_number().over(order).alias("_k")).where("_ghost = 0")
     n = F.length("_t")
     cut = F.floor(n / F.lit(edited_part)).cast("int")
