@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, partitions, staged
+from .common import discard, documents, partitions, staged, unused
 from .components import components
 from .tokens import _Cache, kept_by_worker
 
@@ -31,8 +31,8 @@ WALKED, WALKS = 6, 2
 BROADCAST_SETS = 1_000_000
 #: So many of the commonest shingles come last in prefixes; a task sends those that it meets so often.
 COMMON, OFTEN = 1 << 16, 8
-#: Entries that a map task holds before it sends them on.
-HELD = 1 << 21
+#: Entries that a map task holds before it sends them on, and that a bucket is to hold (16 to 40 bytes each).
+HELD, BUCKET_ENTRIES = 1 << 21, 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -375,8 +375,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(256, 16 * partitions(spark))
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = _shingler(words)
         for b in batches:
@@ -405,18 +403,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for sig, raw in zip(b.column("sig").to_pylist(), b.column("tokens").to_pylist(), strict=True):
                 yield np.frombuffer(raw, np.uint64), sig
 
+    def buckets_for(entries: int | None) -> int:
+        """So many that a bucket holds about BUCKET_ENTRIES entries, whatever the corpus."""
+        return max(256, 16 * partitions(spark), -(-(entries or 0) // BUCKET_ENTRIES))
+
     signed = staged(rows.mapInArrow(sign, "doc_id long, n long, sig long, sampled long"), "signed")
     classes = signed.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.max("n").alias("n"), F.max("sampled").alias("sampled"))
 
     # at most n - ceil(.75 n) shingles of a linked set are missing in its partner, whichever part of them is looked at
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    first = shared_counts(rows.select("text"), sample, buckets)
+    first = shared_counts(rows.select("text"), sample, buckets_for(signed.agg(F.sum("sampled")).first()[0]))
     able = staged(classes.join(first, "sig", "left").where(F.col("sampled") - F.coalesce("shared", F.lit(0)) <= spare).select("sig", "rep"), "able")
     ids = able.select(F.col("rep").alias("doc_id"))
     if able.count() <= BROADCAST_SETS:
         ids = F.broadcast(ids)
     fetched = rows.join(ids, rows.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     sets = staged(fetched.mapInArrow(sets_of, "sig long, n long, tokens binary"), "sets")
+    buckets = buckets_for(sets.agg(F.sum("n")).first()[0])
     second = shared_counts(sets.select("sig", "tokens"), all_tokens, buckets)
     central = (F.col("weight") * 1000 / F.col("n")).cast("long").alias("central")
     kept = staged(sets.join(second.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).where(F.col("n") - F.col("shared") <= spare).select("sig", "n", "tokens", central).dropDuplicates(["sig"]), "kept-sets")
@@ -424,14 +427,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     entry = "bucket int, token binary, sig binary, n binary, pos binary"
     prefixes = lambda df, extra, most=None, common=None: df.select("sig", "tokens", *extra).mapInArrow(partial(_prefix_entries, buckets=buckets, extra=extra, percent=percent, most=most, common=common), entry + "".join(f", {c} binary" for c in extra))
-    comps, known, fresh = None, None, None
+    comps, known, counted = None, None, []
     for _ in range(WALKS):
         placed = kept.withColumn("comp", F.col("sig")) if comps is None else kept.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
         pairs = prefixes(placed, ["comp", "central"], 4 * WALKED).groupBy("bucket").applyInArrow(lambda t: walk_lists(t, percent), "a long, b long").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         fresh = count_overlaps(pairs, kept, percent)
+        counted.append(fresh)
         known = fresh if known is None else known.unionByName(fresh)
+        if comps is not None:
+            discard(comps)
         comps = components(known.where("linked").select("a", "b"))
 
     # a set's home: the most central one that it was counted against
@@ -442,14 +448,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = spark.sparkContext.broadcast(common_shingles(placed))  # COMMON shingles at most, 16 bytes each
     crossed = prefixes(placed, ["comp", "home"], common=common).groupBy("bucket").applyInArrow(lambda t: cross_lists(t, percent), "a long, b long")
 
+    # homes with a set outside their component, from a row for each home and component; only these are joined with
+    # all their sets, by a plain join whose hot side Spark can split
     bases = placed.select(F.col("sig").alias("base"), F.col("comp").alias("base_comp"), F.col("tokens").alias("home_tokens"))
-    beside = placed.join(bases, F.col("home") == F.col("base")).withColumn("outside", F.col("comp") != F.col("base_comp"))
-    torn = placed.select("home", "comp").join(placed.select(F.col("sig").alias("base"), F.col("comp").alias("base_comp")), (F.col("home") == F.col("base")) & (F.col("comp") != F.col("base_comp"))).select(F.col("home").alias("torn")).distinct()
-    beside = beside.join(torn, F.col("home") == F.col("torn"), "left_semi").select("sig", "home", "comp", "outside", "tokens", "home_tokens")
+    homes = placed.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("sets"))
+    torn = homes.join(bases.drop("home_tokens"), (F.col("home") == F.col("base")) & (F.col("comp") != F.col("base_comp"))).select("base").distinct()
+    torn_bases = staged(bases.join(torn, "base", "left_semi"), "torn-homes")
+    beside = placed.join(torn_bases, F.col("home") == F.col("base")).select("sig", "home", "comp", (F.col("comp") != F.col("base_comp")).alias("outside"), "tokens", "home_tokens")
     differing = beside.mapInArrow(partial(_difference_entries, buckets=buckets, percent=percent), "bucket int, token binary, sig binary, comp binary, role binary, left binary, part binary").groupBy("bucket").applyInArrow(lambda t: difference_lists(t, percent), "a long, b long")
     open_pairs = crossed.union(differing).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     late = count_overlaps(open_pairs, kept, percent)
     if late.where("linked").limit(1).count():
+        discard(comps)
         comps = components(known.unionByName(late).where("linked").select("a", "b"))
 
     roots = comps.join(classes.select(F.col("sig").alias("node"), "rep"), "node")
@@ -457,7 +467,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = roots.join(lowest, "root").select(F.col("node").alias("s"), "component_id")
     copies = classes.where("members > 1").join(linked.select("s"), F.col("sig") == F.col("s"), "left_anti").select(F.col("sig").alias("s"), F.col("rep").alias("component_id"))
     of_set = staged(linked.unionByName(copies), "set-components")
-    discard(kept, placed, late)
+    discard(kept, placed, torn_bases, late, comps, *counted)
     out = signed.join(of_set, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -465,8 +475,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with its smallest id. Rows with null ids stay."""
     found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
