@@ -221,16 +221,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece its sequence_id and offset; offsets of a sequence run gapless from 0.
 
     Only a count of each length (at most ``capacity`` of them) reaches the driver. A piece's rank within its
-    length comes from a window over chunks of that length, so no length is ever gathered in one task.
+    length comes from a window over chunks of that length, so no length is ever gathered in one task. Pieces are
+    numbered as they are staged and dealt by that number, so that repeated rows spread over the chunks too.
     """
     spark = pieces.sparkSession
     chunks = max(64, 4 * partitions(spark))
-    keyed = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(5)), F.lit(chunks)).cast("int"))
-    sizes = keyed.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")).drop("_n")
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    numbered = staged(pieces.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    keyed = numbered.withColumn("_chunk", F.pmod(F.xxhash64("_n", F.lit(5)), F.lit(chunks)).cast("int"))
+    sizes = keyed.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_size")).drop("_size")
+    counts = {r[0]: r[1] for r in numbered.groupBy("length").count().collect()}
     shared = spark.sparkContext.broadcast(_slots(pack_lengths(counts, capacity)))
-    order = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "_chunk").orderBy("_n")
     ranked = keyed.withColumn("_k", F.row_number().over(order)).join(before, ["length", "_chunk"])
     kept = [c for c in pieces.columns]
     ranked = ranked.select(*kept, (F.col("_before") + F.col("_k") - 1).alias("_rank"))
@@ -254,15 +256,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all documents.
 
-    Null and empty texts are one piece, the end id alone. Null ids and repeated rows are packed row by row. An
+    Null and empty texts are one piece, the end id alone; a text of any length is cut into as many as it takes.
+    Null ids and repeated rows are packed row by row. An
     empty table gives an empty result. Other columns are ignored.
     """
-    return pack_pieces(staged(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces"), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), capacity)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sequence_id, n_tokens, ids): the sequences themselves, ids as little-endian unsigned 32-bit integers."""
-    placed = pack_pieces(staged(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids=True), "pieces"), capacity)
+    placed = pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids=True), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x.ids))
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))
