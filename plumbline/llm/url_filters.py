@@ -6,6 +6,7 @@ A URL's tokens fetch the rules indexed under them, and only those run their regu
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from .common import ascii_lower
 TOKEN_BREAK = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"
 #: A map of the index goes into the plan up to this many rules; beyond it the index is a table that is joined.
 MAP_RULES = 256
+#: Up to so many rules (some 200 bytes each) their table is broadcast.
+BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,30 @@ def word_rule(*words: str) -> UrlRule:
     return UrlRule("-".join(words), rf"^(?:[^/]*[.-])?{joined}(?:[.-][^/]*)?(?:/|$)", words, "block", 0, listed=False)
 
 
+def rules_of(lines: Iterable[str]) -> list[UrlRule]:
+    """Rules from lines of a list: ``block host/path``, ``allow host/path``, or ``words a b`` to block hosts by words.
+
+    Blank lines and what follows a # are left out; of equal hosts and paths the last line counts.
+    """
+    found: dict[str, UrlRule] = {}
+    for line in lines:
+        kind, *rest = line.split("#")[0].split() or [""]
+        if kind in ("block", "allow") and len(rest) == 1:
+            host, slash, path = rest[0].partition("/")
+            found[rest[0]] = host_rule(host.lower(), slash + path, kind)
+        elif kind == "words" and rest:
+            rule = word_rule(*rest)
+            found[rule.name] = rule
+        elif kind:
+            raise ValueError(f"no such rule: {line.strip()}")
+    return list(found.values())
+
+
+def load_rules(spark: SparkSession, path: str) -> list[UrlRule]:
+    """``rules_of`` a text file that Spark can read; a rule list is configuration and fits the driver."""
+    return rules_of(r.value for r in spark.read.text(path).collect())
+
+
 #: The contract's listed rules.
 LISTED = (host_rule("net", "/", "block"), host_rule("example.net", "/en/", "allow"), host_rule("example.com", "/de/", "block"), host_rule("org", "/fr/", "allow"))
 #: Names of hosts that the method itself blocks where no listed rule fits.
@@ -87,9 +114,9 @@ def rarest_token_index(urls: DataFrame, rules: list[UrlRule]) -> dict[str, list[
 def filter_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", map_rules: int = MAP_RULES) -> DataFrame:
     """Judge every URL: host, path, the fitting rule of the highest rank and its verdict, else ``default``.
 
-    Up to ``map_rules`` rules the index is a map in the plan: no shuffle at all. A larger rule list is a table
-    joined on the token; AQE splits the shares of frequent tokens, and the best rule of each row is found
-    by a partial aggregation. Null URLs and URLs without :// have empty host and path and fit no rule.
+    Up to ``map_rules`` rules the index is a map in the plan: no shuffle at all. A larger rule list is a table that
+    tokens are joined with (broadcast up to BROADCAST_RULES, rules being configuration); what fits is reduced to
+    the best rule of a host and path where it lies, and joined back. URLs of any length are judged whole. Null URLs and URLs without :// have empty host and path and fit no rule.
     Repeated rows are each judged; an empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -106,11 +133,11 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id",
         best = rows.withColumn("_best", F.array_max(fits))
     else:
         rules_df = spark.createDataFrame([(t, (r.rank, r.name, r.verdict, r.listed, r.regex)) for t, rs in index.items() for r in rs], f"_token string, _rule {kind}")
-        keyed = rows.withColumn("_n", F.struct(F.monotonically_increasing_id(), F.xxhash64("page_id", "host", "path")))
-        asked = keyed.select("page_id", "host", "path", "_n", F.explode(F.concat(F.col("_tokens"), F.array(F.lit("")))).alias("_token"))
-        found = asked.join(rules_df, "_token", "left")
-        fit = F.when(F.rlike(F.concat("host", "path"), F.col("_rule.regex")), F.col("_rule"))
-        best = found.groupBy("_n", "page_id", "host", "path").agg(F.max(fit).alias("_best"))
+        # only tokens that a rule is indexed under go on, and of a host and path only its best rule
+        asked = rows.select("host", "path", F.explode(F.concat(F.col("_tokens"), F.array(F.lit("")))).alias("_token"))
+        fetched = asked.join(F.broadcast(rules_df) if len(rules) <= BROADCAST_RULES else rules_df, "_token").where(F.rlike(F.concat("host", "path"), F.col("_rule.regex")))
+        found = fetched.groupBy(F.struct("host", "path").alias("_where")).agg(F.max("_rule").alias("_best"))
+        best = rows.join(found, F.struct("host", "path") == F.col("_where"), "left")
     return best.select(
         "page_id", "host", "path",
         F.when(F.col("_best.listed"), F.col("_best.name")).alias("rule"),
