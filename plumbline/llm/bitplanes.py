@@ -152,6 +152,10 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Bytes of text that a file holds at most, about; rows that a batch of read documents has at most.
+FILE_BYTES, READ_ROWS = 256 << 20, 1 << 16
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, by: str = "bit") -> DataFrame:
     """Encode whole texts and write them as token files in ascending id order; returns the staged manifest.
 
@@ -160,7 +164,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     and only the one that its committed manifest row names is ever read. ``folder`` is a shared URI.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(partitions(docs.sparkSession), -(-size // FILE_BYTES))
+    dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,7 +211,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                             crc = 0
                 lengths = file.lengths.astype(np.int64)
                 begins = start + np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(begins), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for k in range(0, len(sums), READ_ROWS):
+                    part = slice(k, k + READ_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[part], pa.int64()), pa.array(begins[part]), pa.array(lengths[part]), pa.array(sums[part], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

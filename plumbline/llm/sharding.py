@@ -23,7 +23,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     shard differs from total / n_shards by less than its largest document.
 
     Only ids, sizes and checksums are shuffled, never texts. Null text: size 8, checksum 0. Null ids order
-    first. Repeated rows are each placed. An empty table gives an empty result. Other columns are ignored.
+    first. Repeated rows are each placed, and a group of equal texts that a shard's end cuts goes on in the next
+    shard: the law ``bytes`` holds before togetherness. Texts of any length count whole; one longer than a share
+    fills its shard alone. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     body = F.col(text_col).cast("binary")
@@ -47,7 +49,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     placed = staged(
         rows.withColumn("_r", got.of(F.struct(*fields)))
         .select("doc_id", "size", "text_crc32", start.alias("_s"), at.alias("_at"))
-        .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(F.col("_s") * F.lit(n_shards) / F.lit(total))).cast("int"))
+        .withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"_s * {n_shards} div {total}L")).cast("int"))
         .drop("_s"),
         "shard-places",
     )

@@ -6,6 +6,7 @@ What reaches the driver is a sample of bounded size and one row a range.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,9 +65,12 @@ def _sample(rows: DataFrame, fields: tuple[str, ...], weight: str, total: int, w
     return [(tuple(r[f] for f in fields), r["_w"]) for r in got]
 
 
-def sampled_ranges(rows: DataFrame, fields: tuple[str, ...], weight: str, n_ranges: int, sample_rows: int = 20_000, rounds: int = 6) -> Ranges:
+def sampled_ranges(rows: DataFrame, fields: tuple[str, ...], weight: str, n_ranges: int, sample_rows: int = 20_000) -> Ranges:
     """Split rows into about ``n_ranges`` ranges of equal weight; overfull ranges are sampled again and cut.
 
+    Cutting goes on until no range holds over twice its share, or until those that do can't be cut, as all their
+    rows have one key. Every round finds new boundaries, so it ends.
+
     ``rows`` is read once for the totals, once for each sample and once for the exact sums.
     """
     key = F.struct(*[F.col(f) for f in fields])
@@ -75,11 +79,11 @@ def sampled_ranges(rows: DataFrame, fields: tuple[str, ...], weight: str, n_rang
         return Ranges(fields, [], [0], [0])
     bounds = _quantiles(_sample(rows, fields, weight, total, sample_rows, 0), n_ranges)
     share = max(1, total // n_ranges)
-    for again in range(1, rounds + 1):
+    for again in itertools.count(1):
         placed = rows.withColumn("_r", range_of(fields, bounds, key))
         got = {r[0]: (r[1], r[2]) for r in placed.groupBy("_r").agg(F.sum(weight), F.count(F.lit(1))).collect()}
         over = {r: w for r, (w, c) in got.items() if w > 2 * share and c > 1}
-        if not over or again == rounds:
+        if not over:
             break
         inside = placed.where(F.col("_r").isin(list(over)))
         sample = _sample(inside, fields, weight, sum(over.values()), sample_rows, again)

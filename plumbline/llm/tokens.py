@@ -25,7 +25,7 @@ UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏЀ-ҁҊ-ԓ‐-‧‰-
 RUN = re.compile(r"[ \t\n\r] ")
 LONG_UNIT, SEGMENT = 64, 1 << 20
 #: Bytes that a generation of a worker's cache of units holds; that of pre-tokens holds a quarter.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 56 << 20
 
 
 def byte_alphabet() -> list[str]:
