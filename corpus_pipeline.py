@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, jaccard, line_dedup, packing, quality
-from plumbline.llm.common import documents, new_folder
+from plumbline.llm.common import documents, new_folder, remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
+    """All stages over the table documents, each written to the shared folder and read again; a table goes when the next one is written."""
+    docs, held = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
         path = new_folder(spark, f"stage-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if held:
+            remove(spark, held)
+        docs, held = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
