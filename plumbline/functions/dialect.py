@@ -7,6 +7,7 @@ so Catalyst sees the whole plan at once; ``duck`` writes the same relations as a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ class Relation:
     other: str | None = field(default=None, compare=False)
     #: Small and read more than once: Spark writes it to the shared folder and reads it from there.
     stage: bool = field(default=False, compare=False)
+    #: Makes the frame from the inputs' frames, by name, where an operator isn't SQL; ``other`` is then the oracle's text.
+    run: Callable[..., DataFrame] | None = field(default=None, compare=False)
 
     def text(self, sql: str) -> str:
         for k, v in self.values:
@@ -41,7 +44,7 @@ class Relation:
             for t in TABLES:
                 if f"{{{t}}}" in sql and t not in found:
                     found[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-            df = spark.sql(sql, **{k: v for k, v in found.items() if f"{{{k}}}" in sql})
+            df = self.run(**found) if self.run else spark.sql(sql, **{k: v for k, v in found.items() if f"{{{k}}}" in sql})
             made[self] = staged(df, self.name) if self.stage else df
         return made[self]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +20,6 @@ SELECT log_id, period_idx, ret, CASE WHEN period_idx >= <window> THEN m ELSE 0e0
 FROM (SELECT log_id, period_idx, ret, round(avg(ret) OVER w, 12) AS m, round(stddev_samp(ret) OVER w, 12) AS s FROM {returns}
       WINDOW w AS (PARTITION BY log_id ORDER BY period_idx ROWS BETWEEN <window> PRECEDING AND 1 PRECEDING)) t"""
 
-LABELS = """
-SELECT log_id, period_idx, ret, trend_state, vol_state, CASE WHEN trend_state < 0 OR vol_state < 0 THEN -1 ELSE trend_state * <n_vol> + vol_state END AS joint
-FROM (SELECT log_id, period_idx, ret, CAST(CASE WHEN period_idx >= <warmup> THEN size(filter(tc, c -> c <= trend)) ELSE -1 END AS BIGINT) AS trend_state,
-             CAST(CASE WHEN period_idx >= <warmup> THEN size(filter(vc, c -> c <= volatility)) ELSE -1 END AS BIGINT) AS vol_state
-      FROM (SELECT log_id, period_idx, ret, trend, volatility, percentile(trend, <trend_cuts>) OVER w AS tc, percentile(volatility, <vol_cuts>) OVER w AS vc FROM {trailing}
-            WINDOW w AS (PARTITION BY log_id ORDER BY period_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) c) s"""
-LABELS_DUCK = LABELS.replace("size(filter(tc, c -> c <= trend))", "len(list_filter(tc, lambda c: c <= trend))").replace("size(filter(vc, c -> c <= volatility))", "len(list_filter(vc, lambda c: c <= volatility))").replace("percentile(", "quantile_cont(").replace("array(", "list_value(")
-
 ATTRIBUTION = """
 SELECT log_id, joint, count(*) AS n, sum(ret) AS total, avg(ret) AS mean, var_samp(ret) AS variance,
        coalesce(abs(sum(ret)) / nullif(sum(abs(sum(ret))) OVER (PARTITION BY log_id), 0e0), 0e0) AS share FROM {labels} WHERE joint >= 0 GROUP BY log_id, joint"""
@@ -41,8 +36,7 @@ FROM (SELECT log_id, joint AS src, lead(joint) OVER (PARTITION BY log_id ORDER B
 
 
 def regime_values(window: int = C.DEFAULT_REGIME_WINDOW, n_trend: int = C.DEFAULT_STATES_PER_AXIS, n_vol: int = C.DEFAULT_STATES_PER_AXIS) -> dict:
-    cuts = lambda n: "array(" + ", ".join(f"{i}e0 / {n}e0" for i in range(1, n)) + ")"
-    return {"window": window, "warmup": max(window, max(n_trend, n_vol) * C.MIN_STATE_OBS), "n_vol": n_vol, "trend_cuts": cuts(n_trend), "vol_cuts": cuts(n_vol)}
+    return {"window": window, "warmup": max(window, max(n_trend, n_vol) * C.MIN_STATE_OBS), "n_trend": n_trend, "n_vol": n_vol}
 
 
 def _filled(text: str, values: dict) -> str:
@@ -51,13 +45,46 @@ def _filled(text: str, values: dict) -> str:
     return text
 
 
+def expanding_states(values: list[float], cuts: int, warmup: int) -> list[int]:
+    """For each value how many of the ``cuts - 1`` quantiles of all earlier ones lie at or below it; -1 before ``warmup``.
+
+    The earlier values are kept in order, so a period costs an insertion, not a sort.
+    """
+    known: list[float] = []
+    out = []
+    for t, x in enumerate(values):
+        state = -1
+        if t >= warmup:
+            state = 0
+            for k in range(1, cuts):
+                at = (t - 1) * k / cuts
+                low = int(at)
+                edge = known[low] + (known[min(low + 1, t - 1)] - known[low]) * (at - low)
+                state += edge <= x
+        out.append(state)
+        bisect.insort(known, x)
+    return out
+
+
+def label_states(trailing: DataFrame, n_trend: int, n_vol: int, warmup: int) -> DataFrame:
+    """(log_id, period_idx, ret, trend_state, vol_state, joint) of a trailing table, a log at a time: expanding quantiles need its periods in order."""
+
+    def states(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("period_idx")
+        trend, vol = (expanding_states(rows.column(c).to_pylist(), n, warmup) for c, n in (("trend", n_trend), ("volatility", n_vol)))
+        joint = [-1 if a < 0 or b < 0 else a * n_vol + b for a, b in zip(trend, vol, strict=True)]
+        return pa.table({"log_id": rows.column("log_id"), "period_idx": rows.column("period_idx").cast(pa.int64()), "ret": rows.column("ret"), **{k: pa.array(v, pa.int64()) for k, v in (("trend_state", trend), ("vol_state", vol), ("joint", joint))}})
+
+    return trailing.groupBy("log_id").applyInArrow(states, "log_id string, period_idx long, ret double, trend_state long, vol_state long, joint long")
+
+
 def label_regimes(reference: DataFrame, window: int = C.DEFAULT_REGIME_WINDOW, n_trend: int = C.DEFAULT_STATES_PER_AXIS, n_vol: int = C.DEFAULT_STATES_PER_AXIS) -> DataFrame:
     """(log_id, period_idx, ret, trend_state, vol_state, joint), -1 where undefined. Expanding quantiles are exact."""
     v = regime_values(window, n_trend, n_vol)
     n = reference.groupBy("log_id").count().agg(F.min("count")).first()[0] or 0
     if n <= v["warmup"]:
         raise InsufficientSampleError("the reference is no longer than its warm-up", n, v["warmup"])
-    return _sql(reference, _filled(LABELS, v), trailing=_sql(reference, _filled(TRAILING, v), returns=reference))
+    return label_states(_sql(reference, _filled(TRAILING, v), returns=reference), n_trend, n_vol, v["warmup"])
 
 
 def aligned_labels(returns: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ FROM (SELECT log_id, list(c ORDER BY period_idx) AS x, count(*) AS n, unnest(gen
 
 #: Quantiles of all earlier rows by joining the series with itself.
 LABELS = """
-WITH q AS (SELECT b.log_id, b.period_idx, quantile_cont(a.trend, <trend_cuts>) AS tc, quantile_cont(a.volatility, <vol_cuts>) AS vc
+WITH q AS (SELECT b.log_id, b.period_idx, quantile_cont(a.trend, [1 / 3e0, 2 / 3e0]) AS tc, quantile_cont(a.volatility, [1 / 3e0, 2 / 3e0]) AS vc
            FROM {trailing} a JOIN {trailing} b ON a.log_id = b.log_id AND a.period_idx < b.period_idx GROUP BY b.log_id, b.period_idx),
 s AS (SELECT t.log_id, t.period_idx, t.ret, CASE WHEN t.period_idx < <warmup> THEN -1 ELSE (tc[1] <= trend)::INT + (tc[2] <= trend)::INT END AS ts,
              CASE WHEN t.period_idx < <warmup> THEN -1 ELSE (vc[1] <= volatility)::INT + (vc[2] <= volatility)::INT END AS vs

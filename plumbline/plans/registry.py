@@ -131,7 +131,7 @@ spa = R("spa", overfit.SPA, (trials, replicates), SPA_N)
 REG = tuple(regimes.regime_values().items())
 trailing = R("trailing", regimes.TRAILING, (daily,), REG)
 weekly_trailing = R("trailing", regimes.TRAILING, (weekly,), REG)
-labels = R("labels", regimes.LABELS, (weekly_trailing,), REG, other=independent.LABELS, stage=True)
+labels = R("labels", "regime labels", (weekly_trailing,), REG, other=independent.LABELS, stage=True, run=lambda trailing: regimes.label_states(trailing, *(dict(REG)[k] for k in ("n_trend", "n_vol", "warmup"))))
 attribution = R("attribution", regimes.ATTRIBUTION, (labels,))
 moments = R("moments", overfit.MOMENTS, (centred,))
 prefs = verdict.Preferences()

@@ -4,6 +4,7 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +382,29 @@ def test_nothing_to_divide_by(spark):
     one = regimes.attribute_by_regime(labels.withColumn("joint", F.lit(0)).withColumn("ret", F.col("period_idx").cast("double")))
     with pytest.raises(InsufficientSampleError):
         regimes.welch_anova(one)
+
+
+def test_counter_draws_are_blocks_of_the_declared_length(spark):
+    ids = np.arange(400)
+    src = resample.counter_indices(ids, 50, 300, 5.0, 3, "path")
+    assert src.min() == 0 and src.max() == 49 and (resample.counter_indices(ids[100:200], 50, 300, 5.0, 3, "path") == src[100:200]).all()
+    fresh = (src[:, 1:] != (src[:, :-1] + 1) % 50).mean()
+    assert abs(fresh - 0.2 * 49 / 50) < 0.01 and abs(np.bincount(src.ravel(), minlength=50) / src.size - 0.02).max() < 0.003
+    assert (resample.counter_indices(ids, 50, 300, 5.0, 4, "path") != src).mean() > 0.9
+    rows = resample.bootstrap_indices(spark, 50, 400, 300, 5.0, 3, rng="counter").where("path_id = 7").orderBy("step").collect()
+    assert [r.src_idx for r in rows] == src[7].tolist()
+
+
+def test_all_ways_to_draw_give_the_same_distribution(spark):
+    r = returns_of(spark, noise(80, 8, 0.001))
+    for basis in (C.FIXED_INITIAL, C.CURRENT_EQUITY):
+        ends = [resample.resample_equity_paths(r, 400, 5, 100.0, basis, 4.0, rng=g).where("step = 80").agg(F.avg("level"), F.stddev("level")).first() for g in ("counter", "xxhash64")]
+        assert abs(ends[0][0] - ends[1][0]) < 1.5 and abs(ends[0][1] / ends[1][1] - 1) < 0.2
+
+
+def test_expanding_states_by_hand():
+    values = noise(200, 21)
+    got = regimes.expanding_states(values, 3, 60)
+    for t in range(60, 200):
+        assert got[t] == sum(np.quantile(values[:t], k / 3) <= values[t] for k in (1, 2))
+    assert got[:60] == [-1] * 60
