@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, staged, unused
-from .tokens import _Cache, segments, together
+from .tokens import segments, together
 
 #: Candidates: cosine to a passage, as a share of the cosine that its own text would have. Then the share of the
 #: passage's words found in order, and the share of its answer's words found near by.
@@ -28,38 +29,44 @@ RANK, OVERSAMPLE, POWER_ROUNDS = 256, 8, 2
 BLOCK_BYTES, COUNTED_BLOCKS = 1 << 19, 8
 #: Words a window: a passage meets the shortest that holds it; one over the longest is looked for in pieces of that length.
 WIDTHS = (16, 32, 64)
-#: Words of a document whose windows are projected at once, and bytes that a worker's cache of word numbers holds.
-SEGMENT_WORDS, NUMBERS_BYTES = 1 << 13, 24 << 20
+#: Words of a document whose windows are projected at once.
+SEGMENT_WORDS = 1 << 11
+#: Signs that often stand behind a word, and the words of a vocabulary up to which their spellings are kept.
+USUAL_SIGNS, SPELLED_WORDS = ".,;:!?", 1 << 17
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def word(chunk: str) -> str:
     """A chunk between white space, case-folded, without signs at its ends."""
-    return _ENDS.sub("", chunk).casefold()
+    return _ENDS.sub("", chunk.casefold())
 
 
-class Numbers(_Cache):
-    """Numbers of chunks: a word's place in the vocabulary, its size for any other word, -1 for signs alone."""
+class Numbers:
+    """Numbers of a text's words: a word's place in the vocabulary, its size for any other word; signs alone have none.
 
-    def __init__(self, vocab: dict[str, int], limit: int = NUMBERS_BYTES):
-        super().__init__(self.number, limit)
-        self.vocab, self.other = vocab, len(vocab)
+    Known words and those with a usual sign behind them are looked up as they stand in the case-folded text; only
+    what has other signs is taken apart, and no other word is kept.
+    """
 
-    def number(self, chunk: str) -> int:
-        if chunk.isalpha():
-            w = chunk.casefold()
-        elif chunk[:-1].isalpha() and not chunk[-1].isalnum():
-            w = chunk[:-1].casefold()
-        else:
-            w = word(chunk)
-        return self.vocab.get(w, self.other) if w else -1
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab, self.other = vocab, len(vocab)
+        self.spelled = {w + sign: k for w, k in vocab.items() for sign in ("", *USUAL_SIGNS)} if len(vocab) <= SPELLED_WORDS else vocab
+
+    def numbered(self, text: str) -> np.ndarray:
+        chunks = text.casefold().split()
+        ids = np.fromiter(map(self.spelled.get, chunks, repeat(self.other)), np.int32, len(chunks))
+        vocab, other = self.vocab, self.other
+        for i in np.flatnonzero(ids == other).tolist():
+            if not (c := chunks[i]).isalpha():
+                w = c[:-1] if c[:-1].isalpha() and not c[-1].isalnum() else _ENDS.sub("", c)
+                ids[i] = vocab.get(w, other) if w else -1
+        return ids
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in one row, and how many each text has; chunks of signs alone are left out."""
-        parts = [np.fromiter(map(self.__getitem__, c := s.split()), np.int32, len(c)) for t in texts for s in segments(t or "")]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        many = np.array([sum(1 for _ in segments(t or "")) for t in texts], np.int64)
-        row = np.repeat(np.repeat(np.arange(len(texts)), many), [len(p) for p in parts])
+        parts = [[self.numbered(s) for s in segments(t or "")] for t in texts]
+        ids = np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.int32)
+        row = np.repeat(np.arange(len(texts)), [sum(map(len, p)) for p in parts])
         real = ids >= 0
         return ids[real], np.bincount(row[real], minlength=len(texts))
 
@@ -96,7 +103,9 @@ class Index:
     """What workers need for one block of passages; its size grows with their words (BLOCK_BYTES, RANK).
 
     A row of ``latent`` is a passage, or a piece of a long one: ``owner`` is its passage, ``offset`` where the
-    piece begins there, ``width`` the words of the windows that it is compared with. Words outside the passages
+    piece begins there, ``width`` the words of the windows that it is compared with. Where there are no more rows
+    than dimensions, ``near`` has the product of both tables, a word's share in the likeness to each row, so that
+    a window's likenesses are sums. Words outside the passages
     have the number len(vocab), the filling behind a text the next one.
     """
 
@@ -107,6 +116,7 @@ class Index:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     project: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    near: np.ndarray | None = None
     own: np.ndarray = field(default_factory=lambda: np.zeros(0))
     norm: np.ndarray = field(default_factory=lambda: np.zeros(0))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
@@ -215,6 +225,11 @@ def build_index(spark: SparkSession, items: list[tuple[int, str, str | None]], c
     index.norm = np.array([np.sqrt(square_norms(index.idf, p[None])[0]) for p in parts])
     index.own = size / np.maximum(index.norm, 1e-9)
     index.latent = index.latent / np.maximum(size, 1e-9)[:, None]
+    if len(index.latent) <= 2 * index.project.shape[1]:
+        order = np.argsort(index.width, kind="stable")  # rows by width: longer windows need the later columns alone
+        for name in ("owner", "offset", "width", "own", "norm", "latent"):
+            setattr(index, name, getattr(index, name)[order])
+        index.near = np.ascontiguousarray(index.project @ index.latent.T)
     return index
 
 
@@ -285,11 +300,13 @@ def _near(index: Index, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray,
         left[s] = np.where(np.arange(0, room, 4) < min(size, SEGMENT_WORDS), sizes[d] - at[s], 0)
         where += room
     four = row.reshape(-1, 4)
-    vectors = index.project[four[:, 0]]
+    table = index.project if index.near is None else index.near
+    vectors = table[four[:, 0]]
     for k in range(1, 4):
-        vectors += index.project[four[:, k]]
+        vectors += table[four[:, k]]
     weight = (index.idf[four] ** 2).sum(1)
     out: list[tuple[np.ndarray, ...]] = []
+    gone = 0  # columns of shorter windows, which aren't summed any more
     for step, width in zip((1, 2, 4), WIDTHS, strict=True):
         if step > 1:
             vectors, weight = vectors[0::2] + vectors[1::2], weight[0::2] + weight[1::2]
@@ -302,9 +319,14 @@ def _near(index: Index, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray,
         begin = np.flatnonzero(ok)
         if not len(those) or not len(begin):
             continue
-        sums = sum(vectors[begin + k] for k in range(4))
+        if index.near is None:
+            cos = sum(vectors[begin + k] for k in range(4)) @ index.latent[those].T
+        else:
+            here = vectors[:, those[0] - gone : those[-1] + 1 - gone]
+            pairs = here[:-1] + here[1:]
+            cos = (pairs[:-2] + pairs[2:])[begin]
+            vectors, gone = vectors[:, those[-1] + 1 - gone :], int(those[-1]) + 1
         light = np.sqrt(np.maximum(sum(weight[begin + k] for k in range(4)), 1e-12)).astype(np.float32)  # at most the window's norm
-        cos = sums @ index.latent[those].T
         least = np.float32(min_cosine) * index.own[those].astype(np.float32)
         norm = np.maximum(index.norm[those], 1e-6).astype(np.float32)
         r, c = np.nonzero(cos >= np.minimum(light[:, None], norm) * least)
