@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, partitions, staged, unused
 from .components import components
-from .tokens import _Cache, kept_by_worker
 
 WORDS, PERCENT = 5, 75
 #: Share of the hash space whose shingles the first filter looks at.
@@ -45,17 +44,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct hashes of a text's shingles."""
 
-    def __init__(self, words: int = WORDS, limit: int = 24 << 20):
+    def __init__(self, words: int = WORDS):
         import xxhash
 
-        self.words, self.cache = words, _Cache(xxhash.xxh3_64_intdigest, limit)
+        self.words, self.hash = words, xxhash.xxh3_64_intdigest  # quicker than to look words up, as most words of a corpus are rare
 
     def of(self, text: str | None) -> np.ndarray:
         parts = text.encode().lower().split() if text else []  # bytes: only A-Z change, only ASCII white space cuts
         n = len(parts)
         if not n:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.cache.__getitem__, parts), np.uint64, n)
+        h = np.fromiter(map(self.hash, parts), np.uint64, n)
         k = min(self.words, n)
         out = np.full(n - k + 1, k, np.uint64)
         with np.errstate(over="ignore"):
@@ -64,10 +63,6 @@ class Shingler:
         return np.unique(out)
 
 
-def _shingler(words: int) -> Shingler:
-    return kept_by_worker(("shingler", words), lambda: Shingler(words))
-
-
 def signature(shingles: np.ndarray) -> int:
     """64 bits of the set, signed; two different sets among ten billion share one with a chance of a few in all."""
     import xxhash
@@ -376,14 +371,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = _shingler(words)
+        make = Shingler(words)
         for b in batches:
             got = [make.of(t) for t in b.column(1).to_pylist()]
             sigs = pa.array([signature(s) if len(s) else None for s in got], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in got], pa.int64()), sigs, pa.array([len(_sampled(s)) for s in got], pa.int64())], ["doc_id", "n", "sig", "sampled"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-        make, seen = _shingler(words), set()
+        make, seen = Shingler(words), set()
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = make.of(t)
@@ -393,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     yield _sampled(s), sig
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = _shingler(words)
+        make = Shingler(words)
         for b in batches:
             got = [s for t in b.column(0).to_pylist() if len(s := make.of(t))]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sig", "n", "tokens"])

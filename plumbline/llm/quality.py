@@ -59,9 +59,15 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
-        for m in self.word.finditer(chunk):
-            self.hashes.append(xxhash.xxh64_intdigest(m[0].lower()))
-            s = shape(m[0])
+        if chunk.isalpha():
+            parts = (chunk,)
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            parts = (chunk[:-1], chunk[-1])
+        else:
+            parts = [m[0] for m in self.word.finditer(chunk)]
+        for part in parts:
+            self.hashes.append(xxhash.xxh64_intdigest(part.lower()))
+            s = shape(part)
             if (h := self.of_shape.get(s)) is None:
                 h = self.of_shape[s] = xxhash.xxh64_intdigest("shape " + s)
             self.shapes.append(h)
