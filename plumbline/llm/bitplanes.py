@@ -152,7 +152,13 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-#: Bytes of text that a file holds at most, about; rows that a batch of read documents has at most.
+def table_bytes(rows: DataFrame) -> int:
+    """What the planner knows of a frame's size; where it knows nothing, the bytes of its texts are counted."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 55 else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+#: Bytes of the table that a file holds at most, about; rows that a batch of read documents has at most.
 FILE_BYTES, READ_ROWS = 256 << 20, 1 << 16
 
 
@@ -164,8 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     and only the one that its committed manifest row names is ever read. ``folder`` is a shared URI.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(partitions(docs.sparkSession), -(-size // FILE_BYTES))
+    files = max(partitions(docs.sparkSession), -(-table_bytes(rows) // FILE_BYTES))
     dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,26 +42,17 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    """A dict that asks ``make`` for what is missing, bounded in bytes.
+    """A dict that asks ``make`` for what is missing. Full, it becomes the old generation, from which hits move back.
 
-    Full, it becomes the old generation, from which hits move back; the two together hold at most twice ``limit``.
+    ``limit`` is in bytes for a generation, at ENTRY bytes an entry: the slot in the dict, two object heads, and a
+    key of at most LONG_UNIT characters with its value, as they are on average.
     """
 
-    #: What an entry takes besides its characters, about: the slot in the dict and two object heads.
-    ENTRY = 200
+    ENTRY = 230
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.left, self.old = make, limit, limit, {}
-
-    def keep(self, key, value):
-        self.left -= self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
-        if self.left < 0:
-            self.old = dict(self)
-            self.clear()
-            self.left = self.limit
-        self[key] = value
-        return value
+        self.make, self.limit, self.old = make, limit // self.ENTRY, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -69,7 +60,11 @@ class _Cache(dict):
             value = self.make(key)
             if len(key) > LONG_UNIT:
                 return value
-        return self.keep(key, value)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class _Units(_Cache):
@@ -80,17 +75,19 @@ class _Units(_Cache):
         self.signs, self.word = signs, word
 
     def __missing__(self, unit):
-        if unit.isalpha():
-            value = self.old.get(unit)
-            if value is None:
-                value = self.word(unit)
-                if len(unit) > LONG_UNIT:
-                    return value
-            return self.keep(unit, value)
         sign = self.signs.get(unit[-1:])
         if sign is not None and unit[:-1].isalpha():
             return self[unit[:-1]] + sign
-        return super().__missing__(unit)
+        value = self.old.get(unit)
+        if value is None:
+            value = self.word(unit) if unit.isalpha() else self.make(unit)
+            if len(unit) > LONG_UNIT:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = value
+        return value
 
 
 class Encoder:
