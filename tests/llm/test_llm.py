@@ -526,6 +526,14 @@ def test_jaccard_join_of_near_copies_around_the_threshold(spark, seed):
     assert as_rows(jaccard.jaccard_components(df)) == brute_components(rows)
 
 
+def test_jaccard_join_where_ids_are_joined_and_buckets_follow_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_SETS", -1)
+    monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 20)
+    rows = list(enumerate(near_copies(4, 40) + near_copies(14, 20, 12, 2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(jaccard.jaccard_components(df)) == brute_components(rows)
+
+
 def test_jaccard_join_on_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     assert as_rows(jaccard.jaccard_components(odd(spark))) == brute_components(rows)

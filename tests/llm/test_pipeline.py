@@ -1,4 +1,9 @@
 import collections
+import struct
+import zlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import jaccard
@@ -37,4 +42,22 @@ def test_each_stage_on_what_the_last_one_kept(spark, tmp_path):
 
 
 def test_whole_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """The rows of run() are the pieces, by the library, of exactly the texts that the stages keep one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r in docs.collect():
+        ids = tok.encode(r.text, add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[r.doc_id, k] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(places) <= -(-sum(r.length for r in rows) // 4096) + 1
