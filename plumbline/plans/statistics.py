@@ -165,10 +165,12 @@ SELECT period, CASE period WHEN 'DAILY' THEN (SELECT (n - 1) / years FROM k) WHE
 
 @query("grid_choice", GRID_DUCK, "period", "n_periods", periods_per_year=6)
 def grid_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen rung with its rate and number of periods, after the calendar was found to cover the log and the log to stay solvent."""
+    """The chosen rung with its rate and number of periods, after the calendar was found to cover the log.
+
+    Returns are on the initial capital, so a log that uses its equity up has a rung too.
+    """
     t = registry.trades.frame(spark, sf_dir).cache()
     choice = grid.select_grid(t)
-    grid.check_solvency(grid.running_equity(t, 1e7), C.CURRENT_EQUITY)
     n = grid.period_returns(t, choice.period, capital=1e7).count()
     t.unpersist()
     return spark.createDataFrame([(choice.period, choice.periods_per_year, n)], "period string, periods_per_year double, n_periods long")

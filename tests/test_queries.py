@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from plumbline.plans.queries import ORACLE_SQL as SQL
@@ -22,3 +24,21 @@ def test_entry_has_the_flagship(spark):
 
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_grid_choice_of_a_log_that_uses_its_equity_up(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plumbline import constants as C
+    from plumbline.errors import TradeIntegrityError
+    from plumbline.operators import grid
+    from plumbline.sources.testdata import CAPITAL, trades
+
+    for name in os.listdir(SF):
+        if name != "lineitem.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    large = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_quantity", F.col("l_quantity") * 10_000)
+    large.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(TradeIntegrityError):
+        grid.check_solvency(grid.running_equity(trades(spark, str(tmp_path)), CAPITAL), C.CURRENT_EQUITY)
+    assert_same(QUERIES["grid_choice"](spark, str(tmp_path)), SQL["grid_choice"], str(tmp_path))
