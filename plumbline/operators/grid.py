@@ -1,12 +1,13 @@
 """Calendar grid: sessions, attribution of trades to periods, returns by trade and by period, choice of a rung.
 
-Trades are keyed by log_id, so one plan serves one log or many. Times are nanoseconds UTC as BIGINT. A running
-sum over a log is made in two levels, totals of days and then within a day, so no log needs one task.
+Trades are keyed by log_id, so one plan serves one log or many. Times are nanoseconds UTC as BIGINT. Trades are
+numbered in two levels, days and then within a day, and summed up through a tree, so no log needs one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,18 +74,62 @@ SELECT log_id, period_idx, period_end_ns, n_trades,
 FROM {sums}""",
 }
 
-RUNNING = """
+#: Running sums go through a tree over the trades' numbers: nodes of 16 trades, of 16 such nodes and so on. A trade's sum
+#: is folded from the largest nodes before it down to the trades beside it. Errors then grow with the depth, not with
+#: the number of trades, and engines that sum windows through such a tree round the same. A row of a table holds two
+#: levels, and no task needs more of a log than a row for each 16 million trades.
+FANOUT = 16
+SPAN = FANOUT * FANOUT
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` bound to a name, so that it's computed once and not for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fold(values: str, start: str) -> str:
+    """Sum from the left; as in SQL, nothing known gives null."""
+    return f"aggregate({values}, {start}, (s, x) -> coalesce(s + x, s, x))"
+
+
+UNKNOWN = "CAST(NULL AS DOUBLE)"
+_NODES = f"transform(sequence(0, CAST((size(vs) - 1) div {FANOUT} AS INT)), m -> {_fold(f'slice(vs, {FANOUT} * m + 1, {FANOUT})', UNKNOWN)})"
+
+
+def _total(values: str) -> str:
+    """Sum of up to SPAN values as their node has it."""
+    return _let("vs", values, _fold(_NODES, UNKNOWN))
+
+
+def _prefixes(values: str, before: str, upto: str | None) -> str:
+    """What stands before each value and, at the end, after all. ``upto``: after a full row, if there is a level above."""
+    starts = f"transform(sequence(0, CAST(size(vs) div {FANOUT} AS INT)), m -> {_fold('slice(nodes, 1, m)', before)})"
+    each = _fold(f"slice(vs, {FANOUT} * CAST(e div {FANOUT} AS INT) + 1, e % {FANOUT})", f"starts[CAST(e div {FANOUT} AS INT)]")
+    each = f"CASE WHEN e = {SPAN} THEN {upto} ELSE {each} END" if upto else each
+    return _let("vs", values, _let("nodes", _NODES, _let("starts", starts, f"transform(sequence(0, size(vs)), e -> {each})")))
+
+
+NUMBERED = """
 WITH t AS (SELECT log_id, trade_id, exit_ns, pnl, exit_ns div 86400000000000 AS day FROM {trades}),
-totals AS (SELECT log_id, day, sum(pnl) AS total, count(*) AS n FROM t GROUP BY log_id, day),
-offsets AS (SELECT log_id, day,
-                   coalesce(sum(total) OVER (PARTITION BY log_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before,
-                   coalesce(sum(n) OVER (PARTITION BY log_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before
-            FROM totals)
-SELECT t.log_id, t.trade_id, t.exit_ns, t.pnl,
-       CAST(rows_before AS BIGINT) + row_number() OVER (PARTITION BY t.log_id, t.day ORDER BY t.exit_ns, t.trade_id) - 1 AS trade_idx,
-       <capital> + before + sum(t.pnl) OVER (PARTITION BY t.log_id, t.day ORDER BY t.exit_ns, t.trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity
+totals AS (SELECT log_id, day, count(*) AS n FROM t GROUP BY log_id, day),
+offsets AS (SELECT log_id, day, coalesce(sum(n) OVER (PARTITION BY log_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before FROM totals)
+SELECT t.log_id, t.trade_id, t.exit_ns, t.pnl, CAST(rows_before AS BIGINT) + row_number() OVER (PARTITION BY t.log_id, t.day ORDER BY t.exit_ns, t.trade_id) - 1 AS trade_idx
 FROM t JOIN offsets o ON t.log_id = o.log_id AND t.day = o.day"""
 
+SPANS = f"SELECT log_id, trade_idx div {SPAN} AS k, array_sort(collect_list(struct(trade_idx, trade_id, exit_ns, pnl))) AS below FROM {{numbered}} GROUP BY log_id, trade_idx div {SPAN}"
+SPAN_TOTALS = f"SELECT log_id, k, {_total('transform(below, c -> c.pnl)')} AS total FROM {{spans}}"
+#: A row holds the rows of the level below that it covers; the last one all that are left of a log.
+LEVEL = f"SELECT log_id, k div {SPAN} AS k, array_sort(collect_list(struct(k, total))) AS below FROM {{totals}} GROUP BY log_id, k div {SPAN}"
+LEVEL_TOTALS = f"SELECT log_id, k, {_total('transform(below, c -> c.total)')} AS total FROM {{level}}"
+WHOLE = "SELECT log_id, array_sort(collect_list(struct(k, total))) AS below FROM {totals} GROUP BY log_id"
+WHOLE_SUMS = f"SELECT log_id, below, {_prefixes('transform(below, c -> c.total)', UNKNOWN, None)} AS sums FROM {{whole}}"
+LEVEL_SUMS = f"SELECT l.log_id, l.below, {_prefixes('transform(l.below, c -> c.total)', 'p.before', 'p.upto')} AS sums FROM {{level}} l JOIN {{places}} p ON l.log_id = p.log_id AND l.k = p.k"
+PLACES = "SELECT log_id, below[at].k AS k, sums[at] AS before, sums[at + 1] AS upto FROM (SELECT log_id, below, sums, explode(sequence(0, size(below) - 1)) AS at FROM {sums}) s"
+SPAN_SUMS = f"SELECT l.log_id, l.below, {_prefixes('transform(l.below, c -> c.pnl)', 'p.before', 'p.upto')} AS sums FROM {{spans}} l JOIN {{places}} p ON l.log_id = p.log_id AND l.k = p.k"
+RUNNING = """
+SELECT log_id, r.trade.trade_id AS trade_id, r.trade.exit_ns AS exit_ns, r.trade.pnl AS pnl, r.trade.trade_idx AS trade_idx, <capital> + r.after AS equity
+FROM (SELECT log_id, explode(zip_with(below, slice(sums, 2, size(below)), (trade, after) -> struct(trade, after))) AS r FROM {sums}) s"""
+
 TRADE_RETURNS = {
     C.FIXED_INITIAL: "SELECT log_id, trade_id, trade_idx, pnl / <capital> AS ret FROM {running}",
     C.CURRENT_EQUITY: "SELECT log_id, trade_id, trade_idx, pnl / (equity - pnl) AS ret FROM {running}",
@@ -145,8 +190,19 @@ def check_coverage(trades: DataFrame, sessions: DataFrame) -> None:
 
 
 def running_equity(trades: DataFrame, capital: float) -> DataFrame:
-    """(log_id, trade_id, exit_ns, pnl, trade_idx, equity): equity after each trade."""
-    return _sql(trades, _fill(RUNNING, capital=_capital(capital)), trades=trades)
+    """(log_id, trade_id, exit_ns, pnl, trade_idx, equity): equity after each trade.
+
+    Trades are read twice: once for the totals of each 256 of them, a staged table, and once to be placed.
+    """
+    sql = partial(_sql, trades)
+    spans = sql(SPANS, numbered=sql(NUMBERED, trades=trades))
+    totals1 = staged(sql(SPAN_TOTALS, spans=spans), "span-totals")
+    level2 = sql(LEVEL, totals=totals1)
+    level3 = sql(LEVEL, totals=sql(LEVEL_TOTALS, level=level2))
+    places = sql(PLACES, sums=sql(WHOLE_SUMS, whole=sql(WHOLE, totals=sql(LEVEL_TOTALS, level=level3))))
+    for level in (level3, level2):
+        places = sql(PLACES, sums=sql(LEVEL_SUMS, level=level, places=places))
+    return sql(_fill(RUNNING, capital=_capital(capital)), sums=sql(SPAN_SUMS, spans=spans, places=places))
 
 
 def check_solvency(running: DataFrame, basis: str) -> None:
@@ -185,7 +241,8 @@ def period_sums(trades: DataFrame, period: str, sessions: DataFrame | None = Non
 
 def period_returns(trades: DataFrame, period: str, basis: str = C.FIXED_INITIAL, capital: float = 1.0, sessions: DataFrame | None = None) -> DataFrame:
     """(log_id, period_idx, period_end_ns, n_trades, ret)."""
-    check_solvency(running_equity(trades, capital), basis)
+    if basis == C.CURRENT_EQUITY:
+        check_solvency(running_equity(trades, capital), basis)
     return _sql(trades, _fill(RETURNS[basis], capital=_capital(capital)), sums=period_sums(trades, period, sessions))
 
 

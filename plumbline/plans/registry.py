@@ -77,7 +77,7 @@ def returns_of(t: Relation, period: str, basis: str = C.FIXED_INITIAL) -> Relati
 RUNNING_PLAIN = """
 SELECT log_id, trade_id, exit_ns, pnl, row_number() OVER (PARTITION BY log_id ORDER BY exit_ns, trade_id) - 1 AS trade_idx,
        <capital> + sum(pnl) OVER (PARTITION BY log_id ORDER BY exit_ns, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM {trades}"""
-running = R("running", grid.RUNNING, (trades,), CAPV, other=RUNNING_PLAIN)
+running = R("running", "running equity", (trades,), CAPV, other=RUNNING_PLAIN, run=lambda trades: grid.running_equity(trades, CAPITAL))
 weekly, daily, monthly = (returns_of(trades, p) for p in ("WEEKLY", "DAILY", "MONTHLY"))
 trade_ret = R("returns", grid.TRADE_RETURNS[C.FIXED_INITIAL], (running,), CAPV)
 centred = R("centred", metrics.CENTRED, (weekly,), RFV)
