@@ -1,7 +1,8 @@
 """A corpus pipeline: quality, boilerplate lines, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the
-columns of documents. A stage's result is written as Parquet and read again as the next one's docs.
+columns of documents. A stage's result is written as Parquet and read again as the next one's docs. Stages share
+the executors, whose heap the earlier ones have grown, so those with Python workers bound the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, jaccard, line_dedup, packing, quality
-from plumbline.llm.common import documents, new_folder, remove
+from plumbline.llm.common import documents, new_folder, remove, small_batches
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score under one half; learns from the labelled rows that aren't held out."""
+    small_batches(spark)
     return quality.quality_stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -24,11 +26,13 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest id."""
+    small_batches(spark)
     return jaccard.near_duplicate_stage(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
+    small_batches(spark)
     return decontamination.decontamination_stage(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -36,6 +40,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Packs what is left into sequences of at most 4096 tokens."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -54,6 +54,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of texts that go to a Python worker at once. Spark's own limit of 64 MiB is held several times over by the
+#: executor (as buffers grow, and for what comes back) and by each worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES; a lower bound stays. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def unused(base: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has in any case."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -22,6 +22,8 @@ from .common import documents, partitions, staged
 from .tokens import worker_encoder
 
 CAPACITY = 4096
+#: Bytes of a generation of a worker's cache: less than elsewhere, as packing runs last, when executors hold most.
+CACHE_BYTES = 24 << 20
 
 
 # ---- bins ----------------------------------------------------------------------------------------------------------
@@ -187,7 +189,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     """Whole texts (null: empty) as ids with ``end_id`` appended, cut into pieces of ``capacity`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, limit=CACHE_BYTES), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -177,9 +177,9 @@ def kept_by_worker(key: tuple, make):
     return held[key]
 
 
-def worker_encoder(path: str, counts: bool = False, frequent: bytes = b"") -> Encoder:
-    """An encoder shared by the tasks of a worker; ``frequent`` is a packed table."""
-    return kept_by_worker(("encoder", path, counts, zlib.crc32(frequent)), lambda: Encoder(path, counts, unpack_table(frequent) if frequent else None))
+def worker_encoder(path: str, counts: bool = False, frequent: bytes = b"", limit: int = CACHE_BYTES) -> Encoder:
+    """An encoder shared by the tasks of a worker; ``frequent`` is a packed table, ``limit`` as in ``CACHE_BYTES``."""
+    return kept_by_worker(("encoder", path, counts, zlib.crc32(frequent), limit), lambda: Encoder(path, counts, unpack_table(frequent) if frequent else None, limit))
 
 
 def segments(text: str) -> Iterator[str]:

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -61,3 +62,25 @@ def test_whole_run(spark):
         ends = [o + n for o, n in sorted(parts)]
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
     assert len(places) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_stages_with_python_bound_their_batches(spark):
+    """Batches of 64 MiB took executors past their memory; a lower bound that a session has stays."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from plumbline.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 400)).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.best_fit_packing(spark, docs, SF)
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 1 and max(got) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name) in ("1m", "1048576b")
+    finally:
+        spark.conf.unset(name)
