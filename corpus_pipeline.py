@@ -37,11 +37,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 4096 tokens."""
+    """Packs what is left into sequences of at most 4096 tokens. Runs last, when executors hold most, so with a small cache."""
     import public_tokenizers
 
     small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=24 << 20)
 
 
 STAGES = [

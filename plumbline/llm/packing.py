@@ -19,11 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, staged
-from .tokens import worker_encoder
+from .tokens import CACHE_BYTES, worker_encoder
 
 CAPACITY = 4096
-#: Bytes of a generation of a worker's cache: less than elsewhere, as packing runs last, when executors hold most.
-CACHE_BYTES = 24 << 20
 
 
 # ---- bins ----------------------------------------------------------------------------------------------------------
@@ -185,11 +183,11 @@ def squared_fill(bins: dict[tuple[int, ...], int]) -> int:
 # ---- documents -----------------------------------------------------------------------------------------------------
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Whole texts (null: empty) as ids with ``end_id`` appended, cut into pieces of ``capacity`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_encoder(tokenizer, limit=CACHE_BYTES), int(end_id).to_bytes(4, "little")
+        encoder, end = worker_encoder(tokenizer, limit=cache_bytes), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -255,14 +253,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all documents.
 
     Null and empty texts are one piece, the end id alone; a text of any length is cut into as many as it takes.
     Null ids and repeated rows are packed row by row. An
     empty table gives an empty result. Other columns are ignored.
     """
-    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, cache_bytes=cache_bytes), capacity)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
