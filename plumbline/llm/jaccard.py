@@ -287,28 +287,49 @@ def cross_lists(table: pa.Table, percent: int) -> pa.Table:
     return _unique_pairs(np.concatenate(found_a), np.concatenate(found_b))
 
 
+def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """What sets have beside their home set p (B) or lack of it (A), as keys of their own for each home, and the parts of the number below."""
+    for batch in batches:
+        keys, owns, shorts = [], [], []
+        for home, raw, base in zip(*[batch.column(c).to_pylist() for c in ("home", "tokens", "home_tokens")], strict=True):
+            x, p = np.frombuffer(raw, np.uint64), np.frombuffer(base, np.uint64)
+            more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+            with np.errstate(over="ignore"):
+                place = _mix(np.array([home], np.int64).view(np.uint64))
+                keys.append(np.concatenate([_mix(more ^ place), _mix(less ^ place ^ _M2)]).view(np.int64))
+            owns.append(100 * len(less) + percent * len(more))
+            shorts.append(percent * (len(x) + len(p)) - (100 + percent) * (len(p) - len(less)))  # over 0 where x isn't linked with p
+        columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(owns, pa.int64()), pa.array(shorts, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("sig", "home", "comp", "outside")], *columns], ["sig", "home", "comp", "outside", "keys", "own", "short"])
+
+
+def usual_differences(differences: DataFrame) -> DataFrame:
+    """(base, usual): keys that at least OFTEN differences from a home hold, by falling count."""
+    counts = differences.select("home", F.explode("keys").alias("key")).groupBy("home", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    lists = counts.groupBy(F.col("home").alias("base")).agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("usual"))
+    return lists.select("base", F.col("usual.key").alias("usual"))
+
+
 def _difference_entries(batches: Iterator[pa.RecordBatch], buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Entries of what sets have beside their home set p (B) or lack of it (A).
 
     Sets x and y share |p| - |Ax| - |Ay| + |Ax and Ay| + |Bx and By| shingles. If x isn't linked with p, a link of
     x and y takes more than (100 |Ay| + percent |By|) / (100 + percent) shingles that both differences hold. So
     some shingle of y's difference, less that many, is in x's: y sends a prefix, the sets outside p's component all.
-    Entries carry their position and the parts of that number, so that pairs can be left out by position too.
+    Entries carry their position and the parts of that number, so that pairs can be left out by position too. What
+    many sets of the home differ in (lines that a version of it lost) comes last, the commonest at the very end, so
+    lists are short where they can still give pairs: any one order for all sets of a home gives every link.
     """
     out = _Sender(buckets, ["token", "sig", "comp", "role", "left", "part"])
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("sig", "home", "comp", "outside", "tokens", "home_tokens")]
-        for sig, home, comp, outside, raw, base in zip(*columns, strict=True):
-            x, p = np.frombuffer(raw, np.uint64), np.frombuffer(base, np.uint64)
-            more, less = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-            with np.errstate(over="ignore"):
-                place = _mix(np.array([home], np.int64).view(np.uint64))
-                keys = np.concatenate([_mix(more ^ place), _mix(less ^ place ^ _M2)])
-            own = 100 * len(less) + percent * len(more)
-            short = percent * (len(x) + len(p)) - (100 + percent) * (len(p) - len(less))  # over 0 where x isn't linked with p
+        columns = [batch.column(c).to_pylist() for c in ("sig", "comp", "outside", "own", "short")]
+        for sig, comp, outside, own, short, found, late in zip(*columns, batch.column("keys"), batch.column("usual"), strict=True):
+            keys = found.values.to_numpy()
+            last, mine, place = np.intersect1d(keys, late.values.to_numpy(), assume_unique=True, return_indices=True)
+            keys = np.concatenate([np.delete(keys, mine), last[np.argsort(-place)]]).view(np.uint64)
             left = len(keys) - np.arange(len(keys), dtype=np.int32)
             for role, k, part in ((0, len(keys) - own // (100 + percent), own), (1, len(keys) if outside else 0, short)):
-                if k and (full := out.add(keys[:k], np.full(k, sig, np.int64), np.full(k, comp, np.int64), np.full(k, role, np.int8), left[:k].astype(np.int32), np.full(k, part, np.int64))) is not None:
+                if k and (full := out.add(keys[:k], np.full(k, sig, np.int64), np.full(k, comp, np.int64), np.full(k, role, np.int8), left[:k], np.full(k, part, np.int64))) is not None:
                     yield full
     if (full := out.flush()) is not None:
         yield full
@@ -450,7 +471,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     torn = homes.join(bases.drop("home_tokens"), (F.col("home") == F.col("base")) & (F.col("comp") != F.col("base_comp"))).select("base").distinct()
     torn_bases = staged(bases.join(torn, "base", "left_semi"), "torn-homes")
     beside = placed.join(torn_bases, F.col("home") == F.col("base")).select("sig", "home", "comp", (F.col("comp") != F.col("base_comp")).alias("outside"), "tokens", "home_tokens")
-    differing = beside.mapInArrow(partial(_difference_entries, buckets=buckets, percent=percent), "bucket int, token binary, sig binary, comp binary, role binary, left binary, part binary").groupBy("bucket").applyInArrow(lambda t: difference_lists(t, percent), "a long, b long")
+    differences = staged(beside.mapInArrow(partial(_differences, percent=percent), "sig long, home long, comp long, outside boolean, keys array<long>, own long, short long"), "differences")
+    usual = staged(usual_differences(differences), "usual-differences")
+    ordered = differences.join(usual, F.col("home") == F.col("base"), "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<bigint>)")))
+    differing = ordered.mapInArrow(partial(_difference_entries, buckets=buckets, percent=percent), "bucket int, token binary, sig binary, comp binary, role binary, left binary, part binary").groupBy("bucket").applyInArrow(lambda t: difference_lists(t, percent), "a long, b long")
     open_pairs = crossed.union(differing).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     late = count_overlaps(open_pairs, kept, percent)
     if late.where("linked").limit(1).count():
@@ -462,7 +486,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = roots.join(lowest, "root").select(F.col("node").alias("s"), "component_id")
     copies = classes.where("members > 1").join(linked.select("s"), F.col("sig") == F.col("s"), "left_anti").select(F.col("sig").alias("s"), F.col("rep").alias("component_id"))
     of_set = staged(linked.unionByName(copies), "set-components")
-    discard(kept, placed, torn_bases, late, comps, *counted)
+    discard(kept, placed, torn_bases, differences, usual, late, comps, *counted)
     out = signed.join(of_set, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -534,6 +534,34 @@ def test_jaccard_join_where_ids_are_joined_and_buckets_follow_the_counts(spark,
     assert as_rows(jaccard.jaccard_components(df)) == brute_components(rows)
 
 
+def versions_of_one_text(seed, short, long):
+    """Copies with scattered edits of a text, most with a passage that the others (the most central ones) have lost."""
+    r = random.Random(seed)
+    base, lost = ([f"w{r.randrange(10**6)}" for _ in range(n)] for n in (86, 64))
+    rows = []
+    for k in range(short + long):
+        t = base + lost * (k >= short)
+        for _ in range(6 if k >= short else k > 0):
+            t[r.randrange(len(t))] = f"e{r.randrange(10**9)}"
+        rows.append(" ".join(t))
+    return rows
+
+
+def test_jaccard_join_counts_few_pairs_of_a_group_of_near_copies_that_are_not_linked(spark, monkeypatch):
+    rows = list(enumerate(versions_of_one_text(5, 40, 200)))
+    counted, count = [], jaccard.count_overlaps
+
+    def counting(pairs, *rest):
+        found = count(pairs, *rest)
+        counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "count_overlaps", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(jaccard.jaccard_components(df)) == brute_components(rows)
+    assert sum(counted) < 10 * len(rows)  # of 28,680 pairs
+
+
 def test_jaccard_join_on_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     assert as_rows(jaccard.jaccard_components(odd(spark))) == brute_components(rows)
